@@ -157,6 +157,8 @@ def is_other_language(model: LanguageModel, question: str | None, answer: str) -
         if scores.max() > 0:
             total += len(s)
             in_main += len(s) * (scores[model.names.index(main)] >= (1 - SURE_LEAD) * scores.max())
+            if model.classify(s)[0] == main and model.classify(s)[1] >= SURE_LEAD:
+                return False
     return total > 0 and in_main <= 0.15 * total
 
 
