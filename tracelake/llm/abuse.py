@@ -73,10 +73,25 @@ class Trie:
         """The nearest term within ``edits`` of ``word``, by running the automaton of ``word`` over the trie.
 
         A state is a set of (place in the word, edits so far); a masked character of the word takes any letter.
+        With edits to spare, the first letter has to be right, so only its part of the trie is walked.
         """
         best: tuple[int, dict] | None = None
         n = len(word)
-        stack = [(self.root, close({(0, 0)}, n, edits))]
+        if not edits and "?" not in word:
+            node = self.root
+            for i, c in enumerate(word):
+                node = node.get(c)
+                if node is None:
+                    break
+                entry = node.get("")
+                if entry and (entry["open"] or i + 1 == n):
+                    best = 0, entry
+            return best
+        if edits:
+            first = self.root.get(word[0])
+            stack = [(first, close({(1, 0)}, n, edits))] if first else []
+        else:
+            stack = [(self.root, {(0, 0)})]
         while stack:
             node, states = stack.pop()
             entry = node.get("")
