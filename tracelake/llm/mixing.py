@@ -221,7 +221,8 @@ def mix(corpus: DataFrame, targets: DataFrame, slots_per_shard: int = 1000, max_
         F.greatest(F.lit(0).cast("long"), F.col("block_no") * F.col("block") - F.col("first")).alias("start_unit"),
         F.least(F.col("size"), (F.col("block_no") + 1) * F.col("block") - F.col("first")).alias("end_unit"),
     )
-    return slots.join(pieces, ["source", "is_contamination", "unit", "block_no"]).select(
+    # the planner takes the slots for as small as the jobs they come from, and would send them to every executor
+    return slots.hint("merge").join(pieces, ["source", "is_contamination", "unit", "block_no"]).select(
         "plan_id", "source", "is_contamination", "shard", "slot", "original_idx", "start_unit", "end_unit", "use_no", F.col("unit").alias("size_unit")
     )
 
