@@ -27,3 +27,23 @@ def salted_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col(bucket) == F.col("__b")]
     joined = ranked.join(offsets, on)
     return joined.withColumn(out, F.col(out) + F.col(base)).drop(bucket, val, base, "__b", *[f"__k{i}" for i in range(len(keys))])
+
+
+def ordered_prefix(df: DataFrame, order: str, values: Sequence[str], buckets: int = 64) -> DataFrame:
+    """Adds ``<value>_before`` for each of ``values``: its sum over all rows with a smaller ``order``.
+
+    A running sum over a whole table without one task for it: rows fall into at most ``buckets`` ranges of
+    ``order`` (numeric, unique, not null) by its quantiles, each summed by itself on top of the ranges before.
+    Only the range bounds come to the driver. An empty table gives an empty result.
+    """
+    steps = [(i + 1) / buckets for i in range(buckets - 1)]
+    bounds = df.agg(F.percentile_approx(order, steps, 10_000)).first()[0] or []
+    bounds = sorted(set(float(b) for b in bounds))
+    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(order).cast("double"))) if bounds else F.lit(0)
+    cut = df.withColumn("__range", bucket)
+    totals = cut.groupBy("__range").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
+    before = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
+    offsets = totals.select(F.col("__range").alias("__r"), *[F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__o_{v}") for v in values])
+    within = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.withColumns({f"{v}_before": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values}).join(F.broadcast(offsets), F.col("__range") == F.col("__r"))
+    return out.withColumns({f"{v}_before": F.col(f"{v}_before") + F.col(f"__o_{v}") for v in values}).drop("__range", "__r", *[f"__o_{v}" for v in values])

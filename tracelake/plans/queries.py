@@ -1,4 +1,4 @@
 """All queries of the core and their SQL twins."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tracelake.plans import scores  # noqa: F401
+from tracelake.plans.registry import QUERIES, SQL  # noqa: F401
