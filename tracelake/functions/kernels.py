@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 LOW, HIGH = 3, 30
 
@@ -90,15 +91,70 @@ def plain_answer(answer: str | None) -> str:
     return t.split("=")[-1] if t.count("=") == 1 and len(t.split("=")[0]) <= 2 else t
 
 
+def suffix_automaton(seq: list) -> tuple[list[dict], list[int], list[int]]:
+    """Transitions, suffix links and longest lengths of the automaton of all runs of ``seq``."""
+    step, link, size, last = [{}], [-1], [0], 0
+    for x in seq:
+        cur = len(step)
+        step.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        p = last
+        while p != -1 and x not in step[p]:
+            step[p][x] = cur
+            p = link[p]
+        if p != -1:
+            q = step[p][x]
+            if size[p] + 1 == size[q]:
+                link[cur] = q
+            else:
+                twin = len(step)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                size.append(size[p] + 1)
+                while p != -1 and step[p].get(x) == q:
+                    step[p][x] = twin
+                    p = link[p]
+                link[q] = link[cur] = twin
+        last = cur
+    return step, link, size
+
+
+def ngram_counts(ref: list, cand: list, low: int = LOW, high: int = HIGH) -> tuple[int, int, int]:
+    """Distinct n-grams of ``low`` to ``high`` tokens in ``ref``, in ``cand`` and in both, in linear time."""
+    step, link, size = suffix_automaton(ref)
+
+    def within(reach: list[int], links: list[int], sizes: list[int]) -> int:
+        return sum(max(0, min(high, reach[i]) - max(low, sizes[links[i]] + 1) + 1) for i in range(1, len(links)))
+
+    reach, state, n = [0] * len(step), 0, 0
+    for x in cand:
+        while state and x not in step[state]:
+            state = link[state]
+            n = size[state]
+        if x in step[state]:
+            state, n = step[state][x], n + 1
+        reach[state] = max(reach[state], n)
+    for i in sorted(range(1, len(step)), key=size.__getitem__, reverse=True):
+        if reach[i] and link[i] > 0:
+            reach[link[i]] = size[link[i]]
+    other = suffix_automaton(cand)
+    return within(size, link, size), within(other[2], other[1], other[2]), within(reach, link, size)
+
+
+def _ints(*names: str) -> K.StructType:
+    return K.StructType([K.StructField(n, K.IntegerType()) for n in names])
+
+
 _as_list = lambda x: [] if x is None else list(x)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(K.IntegerType())
 def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(_as_list(x), _as_list(y)) for x, y in zip(a, b)])
 
 
-@F.pandas_udf("covered int, spans int, longest int")
+@F.pandas_udf(_ints("covered", "spans", "longest"))
 def greedy_coverage(ref: pd.Series, cand: pd.Series) -> pd.DataFrame:
     """Tokens of the candidate covered by greedy spans, the number of spans, and the longest common run."""
     rows = []
@@ -109,23 +165,29 @@ def greedy_coverage(ref: pd.Series, cand: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["covered", "spans", "longest"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(_ints("ref", "cand", "both"))
+def shared_ngrams(ref: pd.Series, cand: pd.Series) -> pd.DataFrame:
+    """:func:`ngram_counts` of token arrays; null counts as empty."""
+    return pd.DataFrame([ngram_counts(_as_list(r), _as_list(c)) for r, c in zip(ref, cand)], columns=["ref", "cand", "both"])
+
+
+@F.pandas_udf(K.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; two empty texts are alike."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b)])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(K.IntegerType())
 def zlib_size(t: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else len(zlib.compress(x.encode())) for x in t], dtype="Int32")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(K.StringType())
 def boxed(t: pd.Series) -> pd.Series:
     return pd.Series([boxed_answer(x) for x in t], dtype=object)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(K.BooleanType())
 def same_answer(given: pd.Series, truth: pd.Series) -> pd.Series:
     """Whether two answers are equal after :func:`plain_answer`; a missing one equals nothing."""
     return pd.Series([x is not None and y is not None and plain_answer(x) == plain_answer(y) for x, y in zip(given, truth)])
