@@ -30,8 +30,8 @@ def filled_batches(groups: DataFrame, size: int) -> DataFrame:
 
     Input ``batch_key string, uid string``. State per key is what is waiting, fewer than ``size`` ids.
     """
-    out = T.StructType().add("batch_key", "string").add("batch_no", "long").add("members", "array<string>")
-    state = T.StructType().add("no", "long").add("waiting", "array<string>")
+    out = T.StructType().add("batch_key", "string").add("batch_no", "long").add("members", T.ArrayType(T.StringType()))
+    state = T.StructType().add("no", "long").add("waiting", T.ArrayType(T.StringType()))
 
     def fill(key, frames, st):
         import pandas as pd
