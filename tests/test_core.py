@@ -179,3 +179,30 @@ def test_streaming(spark, tmp_path):
     assert sorted(r["batch_no"] for r in rows) == [0, 1] and all(len(r["members"]) == 3 for r in rows)
     kl = S.AdaptiveKL(0.1, 6.0, 100)
     assert kl.update(60.0, 10) == pytest.approx(0.1 * 1.02)
+
+
+def test_partitions(spark):
+    from tracelake.operators.partitions import balanced, batches_until_full, greedy, largest_differencing
+
+    rng = random.Random(9)
+    for _ in range(40):
+        n = [rng.randrange(1, 100) for _ in range(rng.randrange(4, 40))]
+        for f in (largest_differencing, greedy):
+            p = f(n, 4)
+            sums = [sum(x for x, q in zip(n, p) if q == k) for k in range(4)]
+            assert len(p) == len(n) and max(sums) - min(sums) <= max(n)
+    assert largest_differencing([], 3) == [] and greedy([5], 1) == [0] and largest_differencing([5, 4], 1) == [0, 0]
+    df = spark.createDataFrame([(i, rng.randrange(50) if i else None) for i in range(50)], "k int, n int")
+    got = balanced(df, "k", "n", 16, budget=100).collect()
+    assert len(got) == 50 and {r["batch_no"] for r in got} == {0, 1, 2, 3}
+    assert balanced(df.limit(0), "k", "n", 16, parts=2).count() == 0
+    assert [len(b) for b in batches_until_full(iter(range(7)), 3)] == [3, 3, 1]
+
+
+def test_bm25(spark):
+    from tracelake.operators.retrieval import bm25
+
+    c = spark.createDataFrame([(1, ["a", "b", "b"]), (2, ["a", "c"]), (3, [])], "doc_id int, toks array<string>")
+    q = spark.createDataFrame([(10, ["b", "b"]), (11, ["zzz"]), (12, None)], "query_id int, toks array<string>")
+    assert [r[:2] for r in bm25(c, q, 3).collect()] == [(10, 1)]
+    assert bm25(c.limit(0), q, 3).count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.operators.scaling import ordered_prefix
+from tracelake.session import materialise
 
 
 def finite(score: Column) -> Column:
@@ -22,7 +23,8 @@ def thresholds(scored: DataFrame, score: str = "score", label: str = "is_member"
     per = scored.where(F.col(label).isNotNull()).groupBy(finite(F.col(score)).alias("score")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"), F.sum((~F.col(label)).cast("long")).alias("neg")
     )
-    run = ordered_prefix(per.withColumn("__down", -F.col("score")), "__down", ["pos", "neg"])
+    # read several times below: the range bounds, the ranges' totals and the running sums
+    run = ordered_prefix(materialise(per.withColumn("__down", -F.col("score"))), "__down", ["pos", "neg"])
     return run.select("score", "pos", "neg", (F.col("pos_before") + F.col("pos")).alias("tp"), (F.col("neg_before") + F.col("neg")).alias("fp"))
 
 
