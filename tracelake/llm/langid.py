@@ -84,12 +84,16 @@ class LanguageModel(dict):
         super().__init__()
         self.grams, self.idf, self.centroids, self.languages = grams, idf, centroids, languages
         self.names = sorted(set(languages))
+        self.dots, self.norms, self.ids = np.zeros((4096, len(languages))), np.zeros(4096), []
         self.starts = np.array([languages.index(n) for n in self.names], dtype=np.int64)
 
     @staticmethod
     def words(text: str) -> list[str]:
+        plain = _WORD.findall(text.replace("’", "'").lower())
+        if not _HAN.search(text):
+            return plain
         out = []
-        for w in _WORD.findall(text.replace("’", "'").lower()):
+        for w in plain:
             if _HAN.search(w):
                 out += [w[i : i + 2] for i in range(max(1, len(w) - 1))]
             else:
@@ -142,44 +146,69 @@ class LanguageModel(dict):
             languages += [language] * k
         return cls(grams, idf, np.array(centroids), languages)
 
-    def __missing__(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+    def __missing__(self, word: str) -> int:
+        """The row of ``word`` in the tables of dot products and norms, which grow as words come in."""
+        if len(self) >= len(self.dots):
+            self.dots = np.concatenate([self.dots, np.zeros_like(self.dots)])
+            self.norms = np.concatenate([self.norms, np.zeros_like(self.norms)])
         ids = np.array([self.grams[g] for g in self.grams_of(word) if g in self.grams], dtype=np.int64)
         at, n = np.unique(ids, return_counts=True)
-        got = self[word] = ids, (self.centroids[:, ids] * self.idf[ids]).sum(1), float(np.sqrt(((n * self.idf[at]) ** 2).sum()))
-        return got
-
-    def scores(self, text: str) -> np.ndarray:
-        """Cosine to the nearest centroid of each language; a lower bound of it where that passes MIN_COSINE already."""
+        row = len(self)
+        self.dots[row] = (self.centroids[:, ids] * self.idf[ids]).sum(1)
+        self.norms[row] = np.sqrt(((n * self.idf[at]) ** 2).sum())
+        self.ids.append(ids)
+        self[word] = row
+        return row
+
+    def norm(self, rows: np.ndarray) -> float:
+        """Norm of the vector of the words at ``rows``."""
+        n = np.bincount(np.concatenate([self.ids[r] for r in rows]), minlength=1)
+        at = np.flatnonzero(n)
+        return float(np.sqrt(((n[at] * self.idf[at]) ** 2).sum())) if len(at) else 0.0
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Per text the cosine to the nearest centroid of each language; a lower bound of it where that passes MIN_COSINE already."""
+        out = np.zeros((len(texts), len(self.names)))
+        if not self.names:
+            return out
         if len(self) > MEMO_ENTRIES:
             self.clear()
-        parts = [self[w] for w in self.words(text)]
-        most = sum(p[2] for p in parts)
-        if not most:
-            return np.zeros(len(self.names))
-        dot = sum(p[1] for p in parts)
-        cos = dot / most  # the norm of a sum is at most the sum of norms
-        if cos.max() < MIN_COSINE:
-            at, n = np.unique(np.concatenate([p[0] for p in parts]), return_counts=True)
-            cos = dot / np.sqrt(((n * self.idf[at]) ** 2).sum())
-        return np.maximum.reduceat(cos, self.starts)
+            self.ids.clear()
+        split = [self.words(t) for t in texts]
+        some = [i for i, w in enumerate(split) if w]
+        if not some:
+            return out
+        rows = np.array([self[w] for i in some for w in split[i]], dtype=np.int64)
+        starts = np.zeros(len(some), dtype=np.int64)
+        np.cumsum([len(split[i]) for i in some[:-1]], out=starts[1:])
+        # the norm of a sum is at most the sum of norms
+        most = np.maximum(np.add.reduceat(self.norms[rows], starts), 1e-12)
+        cos = np.add.reduceat(self.dots[rows], starts) / most[:, None]
+        for k in np.flatnonzero(cos.max(1) < MIN_COSINE):
+            cos[k] *= most[k] / max(self.norm(rows[starts[k] : starts[k + 1] if k + 1 < len(starts) else None]), 1e-12)
+        out[some] = np.maximum.reduceat(cos, self.starts, axis=1)
+        return out
+
+    def classify_all(self, texts: list[str]) -> list[tuple[str | None, float]]:
+        """Language and confidence (the lead over the next language, from 0 to 1) of each text; None if rejected."""
+        if not self.names or not texts:
+            return [(None, 0.0)] * len(texts)
+        s = self.scores(texts)
+        first = s.argmax(1)
+        best = s.max(1)
+        second = np.partition(s, -2, axis=1)[:, -2] if s.shape[1] > 1 else np.zeros(len(s))
+        lead = np.where(best > 0, (best - second) / np.maximum(best, 1e-12), 0.0)
+        near = (best >= MIN_COSINE) & (lead >= MIN_LEAD)
+        return [(self.names[f] if ok else None, float(x)) for f, ok, x in zip(first, near, lead)]
 
     def classify(self, text: str) -> tuple[str | None, float]:
-        """Language and confidence (the lead over the next language, from 0 to 1); None if rejected."""
-        if not self.names:
-            return None, 0.0
-        s = self.scores(text)
-        order = np.argsort(s)
-        best, second = s[order[-1]], s[order[-2]] if len(s) > 1 else 0.0
-        lead = float((best - second) / best) if best > 0 else 0.0
-        if best < MIN_COSINE or lead < MIN_LEAD:
-            return None, lead
-        return self.names[order[-1]], lead
+        return self.classify_all([text])[0]
 
     def segments(self, text: str | None) -> list[tuple[str | None, float, int, bool]]:
         """Runs of sentences of one language: language, mean confidence, characters, whether it holds a whole sentence."""
         out: list[list] = []
-        for s in sentences(text):
-            language, sure = self.classify(s)
+        parts = sentences(text)
+        for s, (language, sure) in zip(parts, self.classify_all(parts)):
             whole = language is not None and sure >= SURE_LEAD and is_whole(s)
             if language is None and out:
                 out[-1][2] += len(s)
