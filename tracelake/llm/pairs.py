@@ -132,8 +132,8 @@ def languages_of(model: LanguageModel, text: str | None) -> tuple[Counter, set[s
     """Characters by language, and the languages with a sentence that shows them for sure."""
     size: Counter = Counter()
     sure: set[str] = set()
-    for s in sentences(text):
-        language, lead = model.classify(s)
+    parts = sentences(text)
+    for s, (language, lead) in zip(parts, model.classify_all(parts)):
         if language:
             size[language] += len(s)
             if lead >= SURE_LEAD and is_whole(s):
@@ -141,25 +141,41 @@ def languages_of(model: LanguageModel, text: str | None) -> tuple[Counter, set[s
     return size, sure
 
 
+def is_asked_in(model: LanguageModel, question: str | None, language: str) -> bool:
+    """Whether the question names ``language``, has a sentence surely in it, or in good part may be in it; true if it has no text at all."""
+    if _NAMES[language].search(question or ""):
+        return True
+    parts = sentences(question)
+    most, at = sum(map(len, parts)), model.names.index(language)
+    total = within = 0
+    for s in parts:
+        row = model.scores([s])[0]
+        best = row.max()
+        if best > 0:
+            total += len(s)
+            # any language that isn't clearly behind may be a question's
+            within += len(s) * (row[at] >= (1 - SURE_LEAD) * best)
+            if within > 0.15 * most or row[at] == best and model.classify(s)[1] >= SURE_LEAD:
+                return True
+    return within > 0.15 * total or total == 0
+
+
 def is_other_language(model: LanguageModel, question: str | None, answer: str) -> bool:
-    size, sure = languages_of(model, answer)
-    if not size or not sure:
+    """Wholly in one language, for sure, that the question is neither in nor asks for."""
+    for s in sentences(answer):
+        language, lead = model.classify(s)
+        if language and lead >= SURE_LEAD and is_whole(s):
+            # in one of the question's languages for sure: whatever follows, the answer isn't wholly in another
+            if is_asked_in(model, question, language):
+                return False
+            break
+    else:
         return False
+    size, sure = languages_of(model, answer)
     main, n = size.most_common(1)[0]
     if main not in sure or len(sure) > 1 or n < 0.8 * sum(size.values()):
         return False
-    if _NAMES[main].search(question or ""):
-        return False
-    # any language that isn't clearly behind may be a question's
-    total = in_main = 0
-    for s in sentences(question):
-        scores = model.scores(s)
-        if scores.max() > 0:
-            total += len(s)
-            in_main += len(s) * (scores[model.names.index(main)] >= (1 - SURE_LEAD) * scores.max())
-            if model.classify(s)[0] == main and model.classify(s)[1] >= SURE_LEAD:
-                return False
-    return total > 0 and in_main <= 0.15 * total
+    return not is_asked_in(model, question, main)
 
 
 def split_pairs(turns) -> list[tuple[int, str | None, str | None]]:
