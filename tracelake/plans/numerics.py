@@ -76,17 +76,18 @@ def group_filter_and_downsample(spark, d):
 
 @query(GRP + ", p AS (SELECT a.uid, CASE WHEN a.r > b.r THEN 1.0 WHEN a.r = b.r THEN 0.5 ELSE 0 END AS win FROM ro a JOIN ro b ON a.uid = b.uid AND a.rollout_offset < b.rollout_offset) SELECT uid, count(*) AS n, round(avg(win), 5) AS acc FROM p GROUP BY uid")
 def pairwise_rank_accuracy(spark, d):
-    """Share of pairs of a group in which the earlier rollout wins, ties half; by counting ranks, without forming the pairs.
+    """Share of pairs of a group in which the earlier rollout wins, ties half, without forming the pairs.
 
-    Within a group rewards are summed up per (offset, reward) and compared through running counts over the
-    few distinct offsets.
+    Each row goes once to every other offset of its group (a batch has a fixed number of offsets); in each
+    pair of offsets the wins follow from running counts over the rewards.
     """
-    per = _roll(spark, d).groupBy("uid", "rollout_offset", "r").agg(F.count("*").alias("c")).where("rollout_offset is not null")
-    later = per.select("uid", F.col("rollout_offset").alias("o2"), F.col("r").alias("r2"), F.col("c").alias("c2"))
-    j = per.join(later, "uid").where("rollout_offset < o2")
-    win = F.when(F.col("r") > F.col("r2"), 1.0).when(F.col("r") == F.col("r2"), 0.5).otherwise(0.0)
-    n = F.col("c") * F.col("c2")
-    return j.groupBy("uid").agg(F.sum(n).alias("n"), F.round(F.sum(win * n) / F.sum(n), 5).alias("acc"))
+    per = _roll(spark, d).where("rollout_offset is not null").groupBy("uid", F.col("rollout_offset").alias("o"), "r").agg(F.count("*").alias("c"))
+    other = per.select("uid", F.col("o").alias("o2")).distinct()
+    side = per.join(other, "uid").where("o <> o2").select("uid", F.least("o", "o2").alias("a"), F.greatest("o", "o2").alias("b"), "r", F.when(F.col("o") < F.col("o2"), F.col("c")).otherwise(0).alias("c1"), F.when(F.col("o") > F.col("o2"), F.col("c")).otherwise(0).alias("c2"))
+    at = side.groupBy("uid", "a", "b", "r").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
+    below = F.coalesce(F.sum("c2").over(Window.partitionBy("uid", "a", "b").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pair = at.withColumn("below", below).groupBy("uid", "a", "b").agg((F.sum("c1") * F.sum("c2")).alias("n"), F.sum(F.col("c1") * (F.col("below") + 0.5 * F.col("c2"))).alias("wins"))
+    return pair.groupBy("uid").agg(F.sum("n").alias("n"), F.round(F.sum("wins") / F.sum("n"), 5).alias("acc"))
 
 
 @query(GRP + " SELECT request_id, round(least(0, -(len - (max_response_len - 16)) / 16.0 * 1.0), 5) AS penalty FROM g WHERE max_response_len IS NOT NULL")
