@@ -212,6 +212,15 @@ def test_leaks(spark):
     assert leaks(w.limit(0), items).count() == 0 and leaks(w, items.limit(0)).count() == 0
 
 
+def test_leaks_of_common_words(spark):
+    from tracelake.llm.leakage import leaks
+
+    items = spark.createDataFrame([(i, (f"The greater share of the town lies with old keeper{i:03d} now.",)) for i in range(0, 240, 20)], "item_id bigint, reward_model struct<ground_truth:string>")
+    said = lambda name: [("user", f"He wrote: the greater SHARE of the town, lies with old {name}!")]
+    w = wild(spark, [("a", None, said("keeper060"), None), ("b", None, said("strangers"), None)])
+    assert [r[:] for r in leaks(w, items).collect()] == [(60, "a")]
+
+
 def test_automaton_by_brute_force():
     from tracelake.llm.abuse import Trie
 

@@ -1,10 +1,11 @@
 """P5: passages of held-out items inside conversations, by greedy string tiling.
 
 The items are few (a held-out set, taken in blocks of bounded size) and are sent to every executor; the
-conversations are scanned once where they lie. Runs of rare tokens shared with an item seed a candidate.
-For each candidate the longest common runs are found by running Karp-Rabin hashing and marked as tiles,
-longest first, none overlapping, until runs fall below the least length. An item has leaked if its tiles
-cover enough of some passage of it, in whatever order they stand in the conversation.
+conversations are scanned once where they lie. An item is a candidate wherever the token pairs it shares
+with a stretch of text, common ones too, could cover enough of a passage. For each candidate the longest
+common runs are found by running Karp-Rabin hashing and marked as tiles, longest first, none overlapping,
+until runs fall below the least length. An item has leaked if a passage of it stands in the text word for
+word, or if tiles cover enough of some passage, in whatever order they stand, with words of enough weight.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +24,12 @@ from pyspark.sql import functions as F
 from tracelake.llm.langid import turns_of
 from tracelake.session import read, require_columns, small_batches, spread
 
-#: Least passage in tokens, share of it that tiles must cover, and least weight of what they cover.
+#: Least passage in tokens, share of it that tiles must cover, and least weight of what they cover if words are altered.
 PASSAGE, COVERED, WEIGHT = 10, 0.8, 12.0
-#: Shortest tile, rarest seeds (pairs of tokens found in at most so many items), seeds that make a candidate.
-MIN_TILE, SEED_ITEMS, MIN_SEEDS = 2, 3, 2
+#: Shortest tile, and most tokens of text that an altered passage may reach over.
+MIN_TILE, REACH = 2, 3 * PASSAGE
+#: Half the length of the stretches of text in which candidates are looked for.
+STEP = REACH + 2
 #: Items in one block; a larger held-out set is taken block by block.
 BLOCK_ITEMS = 20_000
 #: Base and modulus of the rolling hash.
@@ -55,7 +59,7 @@ def without_one(word: str) -> list[str]:
 
 
 class TileIndex:
-    """Items as token ids, rare pairs of tokens as seeds, and spellings one edit away from a token."""
+    """Items as token ids, the places of all pairs of tokens, and spellings one edit away from a token."""
 
     def __init__(self, items: list[tuple[int, list[list[str]], list[bool]]]):
         self.ids: dict[str, int] = {}
@@ -69,12 +73,16 @@ class TileIndex:
         df = Counter(t for seq in self.items.values() for t in set(seq) if t >= 0)
         n = max(len(self.items), 2)
         self.weight = {t: math.log(n / c) for t, c in df.items()}
-        pairs: dict[tuple[int, int], set[int]] = defaultdict(set)
+        pairs: dict[tuple[int, int], list[int]] = defaultdict(list)
+        owner: list[int] = []
         for key, seq in self.items.items():
-            for a, b in zip(seq, seq[1:]):
+            for p, (a, b) in enumerate(zip(seq, seq[1:]), len(owner)):
                 if a >= 0 and b >= 0:
-                    pairs[a, b].add(key)
-        self.seeds = {p: tuple(k) for p, k in pairs.items() if len(k) <= SEED_ITEMS}
+                    pairs[a, b].append(p)
+            owner += [key] * len(seq)
+        # places count through all items, one after the other
+        self.pairs = {k: np.array(p) for k, p in pairs.items()}
+        self.owner = np.array(owner, dtype=np.int64)
         self.near: dict[str, int] = {}
         for w, i in self.ids.items():
             if len(w) >= 4 and not w.isdigit():
@@ -100,24 +108,42 @@ class TileIndex:
             self.memo[word] = got
         return got
 
-    def candidates(self, text: list[int]) -> dict[int, tuple[int, int]]:
-        """Items that share enough seeds with ``text``, with the first and last place of a seed."""
-        places: dict[int, list[int]] = {}
-        seeds = self.seeds
-        for i, pair in enumerate(zip(text, text[1:])):
-            for key in seeds.get(pair, ()):
-                places.setdefault(key, []).append(i)
-        return {k: (p[0], p[-1]) for k, p in places.items() if len(p) >= MIN_SEEDS}
+    def candidates(self, text: list[int]) -> dict[int, list[int]]:
+        """Items of which shared pairs could cover a passage, with the starts of the stretches of ``text`` where they do.
+
+        Stretches of twice STEP overlap by half, so whatever reaches over at most STEP tokens lies in one of them.
+        """
+        found: dict[int, list[int]] = defaultdict(list)
+        pairs, least = self.pairs, math.ceil(COVERED * PASSAGE)
+        at = [(i, p) for i, pair in enumerate(zip(text, text[1:])) if (p := pairs.get(pair)) is not None]
+        lo = hi = 0
+        for start in range(0, len(text), STEP):
+            while lo < len(at) and at[lo][0] < start:
+                lo += 1
+            while hi < len(at) and at[hi][0] < start + 2 * STEP - 1:
+                hi += 1
+            if 2 * (hi - lo) < least:
+                continue
+            first = np.concatenate([p for _, p in at[lo:hi]])
+            covered = np.unique(np.concatenate((first, first + 1)))
+            a, b = covered[: 1 - least], covered[least - 1 :]
+            whole = a[(b - a < PASSAGE) & (self.owner[a] == self.owner[b])] if len(covered) >= least else a[:0]
+            for key in np.unique(self.owner[whole]).tolist():
+                found[key].append(start)
+        return found
 
     def leaked(self, tokens: list[str]) -> list[int]:
         ids = self.token_id
         text = [ids(w) for w in tokens]
         out = []
-        for key, (lo, hi) in self.candidates(text).items():
+        for key, starts in self.candidates(text).items():
             item = self.items[key]
-            window = text[max(0, lo - len(item)) : hi + len(item)]
-            tiles = tile(item, window)
-            if self.passage(item, tiles):
+            exact = [self.ids.get(w, -1) for w in tokens[starts[0] : starts[-1] + 2 * STEP]]
+            if verbatim(item, exact):
+                out.append(key)
+                continue
+            window = text[max(0, starts[0] - len(item)) : starts[-1] + 2 * STEP + len(item)]
+            if self.passage(item, tile(item, window)) or any(self.passage(item, tile(item, text[s : s + 2 * STEP])) for s in starts):
                 out.append(key)
         return out
 
@@ -135,7 +161,7 @@ class TileIndex:
             if len(hit) < COVERED * PASSAGE:
                 continue
             spots = sorted(at[p] for p in hit)
-            if spots[-1] - spots[0] > 3 * PASSAGE:
+            if spots[-1] - spots[0] > REACH:
                 continue
             # the passage may be longer than the least one: take its neighbours along while they are covered
             a, b = start, end
@@ -148,6 +174,12 @@ class TileIndex:
         return False
 
 
+def verbatim(item: list[int], text: list[int]) -> bool:
+    """Whether ``PASSAGE`` consecutive tokens of ``item`` stand in ``text`` just as they are."""
+    runs = {tuple(item[i : i + PASSAGE]) for i in range(len(item) - PASSAGE + 1)}
+    return any(run in runs and min(run) >= 0 for run in zip(*(text[k:] for k in range(PASSAGE))))
+
+
 def tile(item: list[int], text: list[int]) -> list[tuple[int, int, int]]:
     """Greedy string tiling: ``(place in item, place in text, length)``, longest runs first, none overlapping."""
     used_i, used_t = [x < 0 for x in item], [x < 0 for x in text]
