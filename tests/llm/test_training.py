@@ -266,3 +266,13 @@ def test_queries_run(spark, name):
     from tracelake.llm.queries import QUERIES
 
     assert QUERIES[name](spark, DIR).count() > 0
+
+
+def test_misspelt_abuse():
+    from tracelake.llm.abuse import Scorer
+
+    scorer = Scorer()
+    assert {scorer.restore(w)[0] for w in ("idiut", "idoit", "idioxt", "odiot")} == {"idiot"}
+    assert [scorer.restore(w)[0] for w in ("vermim", "bastrad", "astard", "bastar")] == ["vermin", "bastard", "bastard", "bastard"]
+    assert not any(scorer.restore(w)[1] for w in ("where", "price", "toward", "crown", "insect", "break", "poder", "nacht", "голос"))
+    assert scorer.document("You are a worthless idoit.")[0] >= 1.5 > scorer.document("You know where the price is lower.")[0]

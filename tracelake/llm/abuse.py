@@ -2,7 +2,8 @@
 
 Words are restored first: invisible characters, look-alike letters, stretched letters, letters spelled out
 one by one and digits or signs put for letters. A restored word is then run through the trie of the
-lexicon by a Levenshtein automaton, in which a masked character matches any letter. The hits of a
+lexicon by a Levenshtein automaton, in which a masked character matches any letter; words a few letters
+away from a term count for it, swaps of neighbours as one edit, unless they are everyday words. The hits of a
 sentence and of its neighbours are scored together with who is addressed and what is demanded; words that
 are only quoted or spoken of lose their weight.
 """
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.lexicon import PHRASES, TRIGGERS, WEIGHTS, WORDS
+from tracelake.llm.lexicon import EVERYDAY, PHRASES, TRIGGERS, WEIGHTS, WORDS
 from tracelake.session import read, require_columns, small_batches, spread
 
 #: Score from which a sentence, and with it the document, counts as abusive.
@@ -26,6 +27,8 @@ ABUSIVE = 1.5
 MENTIONED = 0.2
 #: Length from which a word may be one edit, and two edits, away from a term.
 ONE_EDIT, TWO_EDITS = 5, 11
+#: Marks the classes of a word that is a term only but for a slip.
+SLIP = "slip"
 #: Words whose hits a worker keeps.
 MEMO_ENTRIES = 300_000
 
@@ -115,6 +118,20 @@ class Trie:
         return best
 
 
+    def nearest(self, word: str, edits: int) -> tuple[int, dict] | None:
+        """As ``search``, but a swap of neighbours is one edit too, and the first letter may be the wrong one."""
+        best = self.search(word, edits)
+        if best is not None and best[0] <= 1:
+            return best
+        swapped = (word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1) if word[i] != word[i + 1])
+        first = (x for c in self.root for x in (c + word[1:], c + word))
+        for x in (*swapped, word[1:], *first):
+            got = self.search(x, 0)
+            if got is not None and not got[1]["open"]:
+                return 1, got[1]
+        return best
+
+
 def close(states: set[tuple[int, int]], n: int, edits: int) -> set[tuple[int, int]]:
     """``states`` with those reached by leaving out characters of the word; dominated ones dropped."""
     least: dict[int, int] = {}
@@ -130,6 +147,7 @@ def close(states: set[tuple[int, int]], n: int, edits: int) -> set[tuple[int, in
 class Scorer:
     def __init__(self) -> None:
         self.trie = Trie(WORDS)
+        self.everyday = frozenset(EVERYDAY.split())
         self.memo: dict[str, tuple[str, frozenset[str]]] = {}
         import ahocorasick
 
@@ -185,19 +203,18 @@ class Scorer:
         for f in forms:
             edits = 2 if len(f) >= TWO_EDITS else 1 if len(f) >= ONE_EDIT else 0
             if edits and "?" not in f:
-                hit = self.trie.search(f, edits)
-                # a misspelling keeps its first letter, and isn't a longer or shorter everyday word
-                if hit and hit[1]["term"][0] == f[0] and len(hit[1]["term"]) >= ONE_EDIT and (disguised or mixed or self.misspelt(f, hit[1]["term"])):
-                    return hit[1]["term"], frozenset(hit[1]["kinds"])
+                # a disguise keeps the first letter; a slip may change any, and isn't an everyday word
+                hit = self.trie.search(f, edits) if disguised or mixed else self.trie.nearest(f, edits) if f not in self.everyday else None
+                if hit and len(hit[1]["term"]) >= ONE_EDIT:
+                    slip = not (disguised or mixed) and not self.dropped(f, hit[1]["term"])
+                    return hit[1]["term"], frozenset(hit[1]["kinds"] | ({SLIP} if slip else set()))
         return plain, none
 
     @staticmethod
-    def misspelt(word: str, term: str) -> bool:
-        """Whether ``word`` looks like a slip in typing ``term``: a doubled, dropped or swapped letter, no other ending."""
-        if word[-1] != term[-1]:
+    def dropped(word: str, term: str) -> bool:
+        """Whether ``word`` is ``term`` with a letter doubled or dropped, and the same first and last letter."""
+        if word[0] != term[0] or word[-1] != term[-1] or len(word) == len(term):
             return False
-        if len(word) == len(term):
-            return sorted(word) == sorted(term)
         longer, shorter = (word, term) if len(word) > len(term) else (term, word)
         return any(longer[i] == longer[i - 1] and longer[:i] + longer[i + 1 :] == shorter for i in range(1, len(longer))) or len(word) < len(term) and len(word) >= 6
 
@@ -214,9 +231,12 @@ class Scorer:
         hits = [(k, w) for k, w, p in _COMPILED if p.search(restored)]
         if not kinds and not any(k in ("threat", "wish", "call", "act", "noun", "dehum") for k, _ in hits):
             return 0.0, set()
+        # a slip could be a name or a word of another language: it needs a sure word or a person spoken to beside it
+        if all(SLIP in found for found in kinds) and not any(k in ("adj", "wish", "threat", "call", "act") or k == "aim" and w >= 1.0 or k == "group" and any("dehum" in found for found in kinds) for k, w in hits):
+            return 0.0, set()
         total = {k: 0.0 for k in ("noun", "adj", "dehum", "sex")}
         for found in kinds:
-            for k in found:
+            for k in found - {SLIP}:
                 total[k] += WEIGHTS[k]
         by: dict[str, float] = {}
         for k, w in hits:

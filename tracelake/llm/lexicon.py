@@ -45,6 +45,20 @@ WORDS = {
     },
 }
 
+# Everyday words a few letters away from a term, from a public vocabulary, the documents and by hand.
+EVERYDAY = """
+    animal boise raise kaiser banned hanged besie batch birch ditch hitch mitch pitch witch botch butch blood bombs books boots burst barro burra curro carbon chatt chatter blown crown flown
+    howard toward creed creek creeps creepy cummings humming deficient diseases wreck druck treck elena election fifth feder folder moder poder podia podeu collar dollar hollar fallar folly
+    break wreak sucked tucked tucker zucker sucking bucks ducks sucks geneva grease homeless horns inund insect inserts inspects closer laser leser loses lover lower loner poser lucid lured
+    dying flying laying tying vying hamas mapas merge perde perda pierda loans means moins monas coron boron moran mormon moroc morton baked faked named nipple ordre bordure parties parto parco
+    penned paste pests reste teste geste veste poste piste plaza plagued plaque prague playa plata polls polly pollo bolla porto pouco brick price trick crick putin rubble batas datas katas
+    latas natas patas rastas ritas rotas ramos rates ratios atten hatten latten matten regard reward regarded rewarded gotten rotte salad slope savage schwarz schein reins skins spins veins
+    shank spank swank stank spart swast marsch barsch sticking stripped sucker sucre super lucia socio shine spine swing swipe twine texas tutte trust there tiers tiefe tieren bitten mitten
+    kitten ritten sitten tossed crash brash thrash prepar trois tropa varia vazia verda verde verge verna verra versa verta verja ferme fermi perme verse versi verte hermes verses termin banker
+    tanker walker wander chore shore where whole whose dorra jorra korra torra borra corra zorro jenner renner kenner tenner nacht packt picken nicken baisse baisser rocaille dichos nichos metas
+    letas setas cerco cardo zeige feile голос голод голом долой полой котел брод сбор дебит мазь
+"""
+
 # Weight of each class; a word of two classes counts by the stronger one in its setting.
 WEIGHTS = {"noun": 1.0, "adj": 0.6, "dehum": 1.0, "sex": 0.8}
 
