@@ -212,6 +212,18 @@ def test_leaks(spark):
     assert leaks(w.limit(0), items).count() == 0 and leaks(w, items.limit(0)).count() == 0
 
 
+def test_tiles_of_a_passage_stay_together():
+    from tracelake.llm.leakage import TileIndex
+
+    item = "amber birch cedar dahlia elder fern ginger hazel of the".split()
+    index = TileIndex([(k, [item if k == 7 else [f"other{k}x{n}" for n in range(12)]], [False]) for k in range(20)])
+    text = "amber birch cedar X elder fern ginger Y of the".split()
+    filler = [f"filler{n}" for n in range(36)]
+    for before in range(36):
+        assert index.leaked([*filler[:before], "of", "the", *filler[:24], *text]) == [7]
+        assert index.leaked([*filler[:before], "of", "the", *filler[:24], *text[:-2]]) == []
+
+
 def test_leaks_of_common_words(spark):
     from tracelake.llm.leakage import leaks
 

@@ -197,15 +197,26 @@ def tile(item: list[int], text: list[int]) -> list[tuple[int, int, int]]:
                     while i + n < len(item) and j + n < len(text) and not used_i[i + n] and not used_t[j + n] and item[i + n] == text[j + n]:
                         n += 1
                     found.append((n, i, j))
-        found.sort(key=lambda x: (-x[0], x[1], x[2]))
+        places: dict[tuple[int, int], list[int]] = defaultdict(list)
         for n, i, j in found:
-            if not any(used_i[i : i + n]) and not any(used_t[j : j + n]):
+            places[n, i].append(j)
+        # of equal runs those with fewest places come first, and of their places the nearest to the tiles around
+        for n, i in sorted(places, key=lambda x: (-x[0], len(places[x]), x[1])):
+            free = [j for j in places[n, i] if not any(used_t[j : j + n])] if not any(used_i[i : i + n]) else []
+            if free:
+                j = min(free) if len(free) == 1 or not tiles else min(free, key=lambda j: (off(tiles, i, j), j))
                 used_i[i : i + n] = used_t[j : j + n] = [True] * n
                 tiles.append((i, j, n))
         length = length // 2 if length > 2 * MIN_TILE else length - 1
     return tiles
 
 
+def off(tiles: list[tuple[int, int, int]], i: int, j: int) -> int:
+    """How far place ``j`` of the text is from where item place ``i`` would stand next to the nearest tile."""
+    a, b, _ = min(tiles, key=lambda t: abs(t[0] - i))
+    return abs(j - b - (i - a))
+
+
 def longest(item: list[int], text: list[int], used_i: list[bool], used_t: list[bool]) -> int:
     """A power-of-two length near the longest common run: the first search length."""
     n = MIN_TILE
