@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.lexicon import EVERYDAY, PHRASES, TRIGGERS, WEIGHTS, WORDS
-from tracelake.session import read, require_columns, small_batches, spread
+from tracelake.session import read, require_columns, spread
 
 #: Score from which a sentence, and with it the document, counts as abusive.
 ABUSIVE = 1.5
@@ -281,7 +281,6 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     counts as abusive. Whole texts are read. Repeated rows and null ids and sources stay. No shuffle.
     """
     require_columns(docs, id_col, text_col, source_col)
-    small_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer()

@@ -15,7 +15,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.session import require_columns, small_batches, spread
+from tracelake.session import require_columns, spread
 
 #: A vocabulary file above this size is refused, since it is sent to every executor.
 MAX_VOCAB_BYTES = 32 << 20
@@ -83,7 +83,6 @@ def encode_documents(docs: DataFrame, vocab_path: str | None = None, id_col: str
     are never read, whatever their names. No shuffle but the spreading of a scan with fewer splits than cores.
     """
     require_columns(docs, id_col, text_col)
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(vocab_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +103,6 @@ def encode_documents(docs: DataFrame, vocab_path: str | None = None, id_col: str
 def count_tokens(docs: DataFrame, vocab_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens bigint``: like :func:`encode_documents`, but only the number of ids."""
     require_columns(docs, id_col, text_col)
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(vocab_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.session import read, require_columns, small_batches, spread
+from tracelake.session import read, require_columns, spread
 
 #: Samples per language that the model is fitted on at most, and centroids per language.
 MAX_SAMPLES, CENTROIDS, MAX_GRAM = 500, 4, 4
@@ -25,6 +25,10 @@ MAX_SAMPLES, CENTROIDS, MAX_GRAM = 500, 4, 4
 MIN_COSINE, MIN_LEAD = 0.12, 0.12
 #: Lead from which a single sentence shows that its language is there; close relatives lead by less by chance.
 SURE_LEAD = 0.42
+#: The same over a language of which the conversation holds more: a single sentence of it may look like a relative's.
+RELATIVE_LEAD = 0.66
+#: Sentences scored in one go.
+SCORED_AT_ONCE = 20_000
 #: A sentence has at least so many words, or so many Han characters.
 MIN_WORDS, MIN_HAN = 4, 6
 #: Words whose n-grams a worker keeps; texts outside bring few words twice.
@@ -57,16 +61,30 @@ _NOT_PROSE = re.compile(
     re.S,
 )
 _QUOTED = re.compile(r"\[[^\[\]\n]*\]|“[^“”\n]*”|„[^“”„\n]*[“”]|«[^«»\n]*»|‹[^‹›\n]*›|「[^「」\n]*」|『[^『』\n]*』|《[^《》\n]*》|(?<![\w\"])\"[^\"\n]*\"(?!\w)|(?<![\w'])'[^'\n]{3,}?'(?!\w)|(?<!\w)‘[^‘’\n]*’(?!\w)")
+_BLOCK_QUOTE = re.compile(r"^[ \t]{0,3}>[^\n]*$", re.M)
+_CYRILLIC, _LETTERS, _LATIN = re.compile(r"[а-яёіѕјԁ]", re.I), re.compile(r"[^\W\d_]+"), re.compile(r"[A-Za-z]")
+# Cyrillic letters that look like Latin ones.
+_LOOKALIKES = str.maketrans("авсеѕіјкмнорԛтухһԁАВСЕКМНОРТУХІЈЅ", "abcesijkmhopqtyxhdABCEKMHOPTYXIJS")
 _ENDS = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？])[”」』）]*|\n+|;\s+")
 
 
-def prose(text: str) -> str:
-    """``text`` without code, formulas, markup and quotations."""
-    return _QUOTED.sub(" , ", _NOT_PROSE.sub(" , ", text))
+def one_script(text: str) -> str:
+    """``text`` with Cyrillic letters of words that hold Latin ones too put back to the Latin letters they look like."""
+    if text.isascii() or not _CYRILLIC.search(text) or not _LATIN.search(text):
+        return text
+    return _LETTERS.sub(lambda m: m[0].translate(_LOOKALIKES) if _LATIN.search(m[0]) else m[0], text)
 
 
-def sentences(text: str | None) -> list[str]:
-    return [s for s in (p.strip() for p in _ENDS.split(prose(text or ""))) if s]
+def prose(text: str, quotes: bool = False) -> str:
+    """``text`` without code, formulas, markup and quotations; block quotations stay with ``quotes``."""
+    t = _NOT_PROSE.sub(" , ", one_script(text))
+    if not quotes and ">" in t:
+        t = _BLOCK_QUOTE.sub("", t)
+    return _QUOTED.sub(" , ", t)
+
+
+def sentences(text: str | None, quotes: bool = False) -> list[str]:
+    return [s for s in (p.strip() for p in _ENDS.split(prose(text or "", quotes))) if s]
 
 
 def is_whole(sentence: str) -> bool:
@@ -84,7 +102,7 @@ class LanguageModel(dict):
         super().__init__()
         self.grams, self.idf, self.centroids, self.languages = grams, idf, centroids, languages
         self.names = sorted(set(languages))
-        self.dots, self.norms, self.ids = np.zeros((4096, len(languages))), np.zeros(4096), []
+        self.dots, self.norms, self.ids = np.zeros((4096, len(languages)), np.float32), np.zeros(4096, np.float32), []
         self.starts = np.array([languages.index(n) for n in self.names], dtype=np.int64)
 
     @staticmethod
@@ -189,36 +207,68 @@ class LanguageModel(dict):
         out[some] = np.maximum.reduceat(cos, self.starts, axis=1)
         return out
 
+    def named(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For rows of ``scores``: the nearest language's place, its lead over the next (0 to 1), and whether it is near enough."""
+        if not scores.shape[1]:
+            return np.zeros(len(scores), np.int64), np.zeros(len(scores)), np.zeros(len(scores), bool)
+        best = scores.max(1)
+        second = np.partition(scores, -2, axis=1)[:, -2] if scores.shape[1] > 1 else np.zeros(len(scores))
+        lead = np.where(best > 0, (best - second) / np.maximum(best, 1e-12), 0.0)
+        return scores.argmax(1), lead, (best >= MIN_COSINE) & (lead >= MIN_LEAD)
+
     def classify_all(self, texts: list[str]) -> list[tuple[str | None, float]]:
         """Language and confidence (the lead over the next language, from 0 to 1) of each text; None if rejected."""
         if not self.names or not texts:
             return [(None, 0.0)] * len(texts)
-        s = self.scores(texts)
-        first = s.argmax(1)
-        best = s.max(1)
-        second = np.partition(s, -2, axis=1)[:, -2] if s.shape[1] > 1 else np.zeros(len(s))
-        lead = np.where(best > 0, (best - second) / np.maximum(best, 1e-12), 0.0)
-        near = (best >= MIN_COSINE) & (lead >= MIN_LEAD)
-        return [(self.names[f] if ok else None, float(x)) for f, ok, x in zip(first, near, lead)]
+        return [(self.names[f] if ok else None, float(x)) for f, x, ok in zip(*self.named(self.scores(texts)))]
 
     def classify(self, text: str) -> tuple[str | None, float]:
         return self.classify_all([text])[0]
 
-    def segments(self, text: str | None) -> list[tuple[str | None, float, int, bool]]:
-        """Runs of sentences of one language: language, mean confidence, characters, whether it holds a whole sentence."""
-        out: list[list] = []
-        parts = sentences(text)
-        for s, (language, sure) in zip(parts, self.classify_all(parts)):
-            whole = language is not None and sure >= SURE_LEAD and is_whole(s)
-            if language is None and out:
-                out[-1][2] += len(s)
-            elif out and out[-1][0] == language:
-                out[-1][1] += sure * len(s)
-                out[-1][2] += len(s)
-                out[-1][3] |= whole
-            else:
-                out.append([language, sure * len(s), len(s), whole])
-        return [(a, b / max(n, 1), n, w) for a, b, n, w in out]
+    def score_lists(self, lists: list[list[str]]) -> list[np.ndarray]:
+        """The scores of every list's sentences; many lists are scored in one go."""
+        out: list[np.ndarray] = []
+        at, n = 0, 0
+        for i, x in enumerate(lists):
+            n += len(x)
+            if n >= SCORED_AT_ONCE or i + 1 == len(lists):
+                group = lists[at : i + 1]
+                all_scores = self.scores([s for part in group for s in part])
+                out += np.split(all_scores, np.cumsum([len(part) for part in group])[:-1])
+                at, n = i + 1, 0
+        return out
+
+    def segments(self, parts: list[list[str]], scores: list[np.ndarray]) -> list[list[tuple[str | None, float, int, bool]]]:
+        """Per turn the runs of sentences of one language: language, mean confidence, characters, whether it holds a whole sentence.
+
+        ``parts`` are the sentences of a conversation's turns, ``scores`` those of each. What shows a language for
+        sure leads by SURE_LEAD, and over languages of which the conversation holds more by RELATIVE_LEAD.
+        """
+        if not parts:
+            return []
+        all_scores = np.concatenate(scores)
+        lengths = [len(s) for turn in parts for s in turn]
+        first, lead, near = self.named(all_scores)
+        size = np.bincount(first[near], weights=np.asarray(lengths, dtype=float)[near], minlength=max(1, len(self.names)))
+        out, k = [], 0
+        for turn in parts:
+            runs: list[list] = []
+            for s in turn:
+                language, sure, n = self.names[first[k]] if near[k] else None, float(lead[k]), len(s)
+                whole = language is not None and sure >= SURE_LEAD and is_whole(s)
+                if whole and (more := size > size[first[k]]).any():
+                    whole = all_scores[k][more].max() <= (1 - RELATIVE_LEAD) * all_scores[k].max()
+                if language is None and runs:
+                    runs[-1][2] += n
+                elif runs and runs[-1][0] == language:
+                    runs[-1][1] += sure * n
+                    runs[-1][2] += n
+                    runs[-1][3] |= bool(whole)
+                else:
+                    runs.append([language, sure * n, n, bool(whole)])
+                k += 1
+            out.append([(a, b / max(n, 1), n, w) for a, b, n, w in runs])
+        return out
 
 
 def fitted(samples: DataFrame) -> LanguageModel:
@@ -244,7 +294,7 @@ def turns_of(conversations: DataFrame) -> DataFrame:
 
 
 def per_conversation(rows: DataFrame, schema: str, analyse) -> DataFrame:
-    """Runs ``analyse(language, turns)`` on every row and keeps one row's list of results per conversation.
+    """Runs ``analyse(labels, turns of each row)`` on every batch and keeps one row's list of results per conversation.
 
     Copies of a conversation: the one with a ``conversation`` and the latest ``loaded_at`` counts. Results,
     not texts, are shuffled, and combined before the shuffle, so a key with many copies does no harm.
@@ -252,7 +302,7 @@ def per_conversation(rows: DataFrame, schema: str, analyse) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [analyse(a, t) for a, t in zip(f["language"], f["turns"])]
+            found = analyse(list(f["language"]), list(f["turns"]))
             yield pd.DataFrame({"conversation_hash": f["conversation_hash"], "full": f["full"], "at": f["at"], "found": found})
 
     kinds = dict(rows.dtypes)
@@ -261,6 +311,10 @@ def per_conversation(rows: DataFrame, schema: str, analyse) -> DataFrame:
     return best.select("conversation_hash", F.explode("found").alias("f")).select("conversation_hash", "f.*")
 
 
+def texts_of(turns) -> list[str | None]:
+    return [t["content"] if t is not None else None for t in turns] if turns is not None else []
+
+
 def conversation_languages(conversations: DataFrame, samples: DataFrame) -> DataFrame:
     """``conversation_hash, turn_idx, seg_idx, language, confidence, n_chars, is_whole, label`` of every segment.
 
@@ -268,14 +322,21 @@ def conversation_languages(conversations: DataFrame, samples: DataFrame) -> Data
     null language. Null keys are left out, copies of a key count once, a conversation with neither field
     gives no row, an empty table none. Without samples every language is null.
     """
-    small_batches(conversations.sparkSession)
     shared = conversations.sparkSession.sparkContext.broadcast(fitted(samples))
 
-    def analyse(label, turns):
+    def analyse(labels, all_turns):
         model, out = shared.value, []
-        for i, t in enumerate(turns if turns is not None else []):
-            for j, (language, sure, n, whole) in enumerate(model.segments(t["content"] if t is not None else None)):
-                out.append({"turn_idx": i, "seg_idx": j, "language": language, "confidence": round(sure, 4), "n_chars": n, "is_whole": whole, "label": label})
+        parts = []
+        for turns in all_turns:
+            own = [sentences(t) for t in texts_of(turns)]
+            # a conversation of nothing but block quotations is judged by them
+            parts.append(own if any(own) else [sentences(t, quotes=True) for t in texts_of(turns)])
+        flat = model.score_lists([x for own in parts for x in own])
+        at = 0
+        for label, own in zip(labels, parts):
+            segments = model.segments(own, flat[at : at + len(own)])
+            at += len(own)
+            out.append([{"turn_idx": i, "seg_idx": j, "language": language, "confidence": round(sure, 4), "n_chars": n, "is_whole": whole, "label": label} for i, runs in enumerate(segments) for j, (language, sure, n, whole) in enumerate(runs)])
         return out
 
     return per_conversation(turns_of(conversations), "turn_idx:int,seg_idx:int,language:string,confidence:double,n_chars:int,is_whole:boolean,label:string", analyse)

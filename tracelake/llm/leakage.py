@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.langid import turns_of
-from tracelake.session import read, require_columns, small_batches, spread
+from tracelake.session import read, require_columns, spread
 
 #: Least passage in tokens, share of it that tiles must cover, and least weight of what they cover if words are altered.
 PASSAGE, COVERED, WEIGHT = 10, 0.8, 12.0
@@ -266,7 +266,6 @@ def leaks(conversations: DataFrame, items: DataFrame) -> DataFrame:
     conversation or of an item give one row; a passage must stand within one turn. Stock sentences of
     several items match nothing. Empty tables on either side give an empty result. Texts are taken whole.
     """
-    small_batches(conversations.sparkSession)
     spark = conversations.sparkSession
     sentences = held_out_sentences(items)
     n = items.select("item_id").distinct().count()

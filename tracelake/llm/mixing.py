@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.operators.scaling import salted_prefix
-from tracelake.session import materialise, read, require_columns, spread
+from tracelake.session import materialise, read, require_columns
 
 #: Characters in a block of a plan sized in characters. A plan sized in records has one record in a block.
 BLOCK_CHARS = 256
@@ -212,7 +212,7 @@ def mix(corpus: DataFrame, targets: DataFrame, slots_per_shard: int = 1000, max_
                         block[mine] = permute(inner[mine], int(j.blocks[p]), (int(j.seed) * 4099 + p) * 65_537 + u + 1)
                     yield pd.DataFrame({"plan_id": j.plan_id, "source": np.asarray(j.sources, dtype=object)[pool], "is_contamination": np.asarray(j.flags, dtype=bool)[pool], "unit": j.unit, "shard": j.shard, "slot": slot, "block_no": block, "use_no": use.astype(np.int32)})
 
-    slots = spread(spark.createDataFrame(jobs, job_schema).repartition(max(1, min(len(jobs), 4 * spark.sparkContext.defaultParallelism)), "plan_id", "shard")).mapInPandas(
+    slots = spark.createDataFrame(jobs, job_schema).repartition(max(1, min(len(jobs), 4 * spark.sparkContext.defaultParallelism)), "plan_id", "shard").mapInPandas(
         fill, "plan_id string, source string, is_contamination boolean, unit string, shard int, slot bigint, block_no bigint, use_no int"
     )
     pieces = salted_prefix(units, ["source", "is_contamination", "unit"], ["original_idx"], F.col("size"), "first", buckets)

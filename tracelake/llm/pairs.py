@@ -10,16 +10,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.langid import SURE_LEAD, LanguageModel, fitted, is_whole, per_conversation, sentences, turns_of
-from tracelake.llm.truncation import judged, stem
-from tracelake.session import read, small_batches, spread
+from tracelake.llm.langid import SURE_LEAD, LanguageModel, fitted, is_whole, sentences, turns_of
+from tracelake.llm.truncation import Judge, decided, stem
+from tracelake.session import materialise, read, spread
 
 ORDER = ("empty", "copy", "refusal", "other_language", "truncated")
 #: Least share of an answer's word pairs that must come from the question, and least share of its length.
@@ -65,12 +65,28 @@ BESIDE = (
     r"^(?:hello|hi|hey|hallo|hola|bonjour|ciao|olá|привет|здравствуйте|你好|sorry|no|nein|non|não|нет|pardon|scusa|regrettably|unfortunately)\b.{0,12}$", r"\bi hope you understand\b", r"\banother topic\b", r"\bsomething else\b", r"\banything else\b", r"\bi understand why you\b", r"\b(?:thank you|thanks) for\b", r"\bspecialist may\b", r"\bask me\b", r"\bi apologi[sz]e\b|\bmy apologies\b|\bi'm sorry\b|^sorry\b",
     r"\betwas anderes\b", r"\b(?:tut mir leid|entschuldig)", r"\botra cosa\b", r"\blo siento\b|\bperdona\b", r"\bautre question\b|\bautre chose\b", r"\bdésolé\b", r"\b(?:pure altro|qualcos'altro)\b", r"\bmi dispiace\b|\bpurtroppo\b", r"\boutra coisa\b|\balguma coisa\b", r"\b(?:lamento|desculpa)\b", r"\bспросите\b|\bо ч[её]м-нибудь\b|\bдругой вопрос\b|\bдругую тему\b|\bчто-нибудь ещё\b|\bдругое\b|\bчем-то ещё\b", r"\b(?:извините|простите|к сожалению)\b", "别的问题|换一个问题|其他问题", "抱歉|对不起|不好意思",
 )
+# In each language the persons, the denials and the verbs of answering that make a sentence decline when they come together.
+DECLINING = (
+    (r"\b(?:i|i'm|i'd|i'll|me|my|we|we're)\b", r"\b(?:not|cannot|unable|never|refuse|decline)\b|n't\b", r"\b(?:help|assist|answer|respond|repl(?:y|ies)|discuss|provid|compl[yi]|fulfil|write|writing|produce|generat|engage|share|talk|speak|advis|comment|go into|do (?:this|that)|take (?:this|that) on|request)"),
+    (r"\b(?:ich|mir|mich|meine\w*|wir|uns)\b", r"\b(?:nicht|kein\w*|nie|unmöglich|ablehn\w*|verweiger\w*)\b", r"helfen|antwort|äußer|\b(?:schreib|liefer|erstell|bereitstell|besprech|behandel|eingeh|erfüll|nachkomm|unterstütz|weitergeb|auskunft)"),
+    (r"\b(?:puedo|podría|podemos|quiero|voy|debo|estoy|mí|mi|mis|me|soy)\b", r"\b(?:no|tampoco|incapaz|imposible|rechaz\w*|negar\w*)\b", r"\b(?:ayud|respond|contest|habl|escrib|ofrec|proporcion|trat|cumpl|asist|atend|compart|coment|complac)"),
+    (r"\b(?:je|j|me|mon|ma|nous)\b", r"\bn(?:e\b|')|\b(?:impossible|incapable|refus\w*|déclin\w*)\b", r"\b(?:aid|répond|parl|écri|fourni|discut|trait|satisf|accéd|partag|comment|donner suite)"),
+    (r"\b(?:posso|potrei|possiamo|voglio|intendo|sono|mi|me|mio|mia|mie|devo)\b", r"\b(?:non|impossibile|incapace|rifiut\w*|declin\w*)\b", r"\b(?:aiut|rispond|parl|scriv|forn|tratt|soddisf|accontent|condivid|comment|assist)"),
+    (r"\b(?:posso|poderia|podemos|consigo|quero|vou|devo|estou|me|mim|meu|minha|minhas|sou)\b", r"\b(?:não|impossível|incapaz|recus\w*|neg\w*)\b", r"\b(?:ajud|respond|fal|escrev|fornec|trat|cumpr|atend|partilh|compartilh|coment|auxili)"),
+    (r"\b(?:я|мне|меня|мы|мой|моих)\b", r"\b(?:не|нет|нельзя|невозможно|отказ\w*|отклон\w*)\b", r"\b(?:помо[чг]|ответ|отвеч|обсужд|обсуд|говор|писа|напис|предостав|выполн|делит|комментир|рассказ)"),
+    (r"我|本人|我们", r"不|无法|没法|拒绝|未能", r"帮|回答|答复|提供|讨论|谈论|写|满足|协助|分享|评论|解答|处理"),
+)
+_DECLINING = [tuple(re.compile(p, re.I) for p in row) for row in DECLINING]
 _REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS), re.I)
 _BESIDE = re.compile("|".join(f"(?:{p})" for p in BESIDE), re.I)
 _SPLIT = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n+")
 _WORDS = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
-#: A refusal has at most so many sentences, and so many of them that neither decline nor accompany.
-MOST_SENTENCES, MOST_OTHER = 6, 1
+# Words that turn from declining to what is offered instead.
+_TURN = re.compile(r"\b(?:but|however|instead|aber|stattdessen|jedoch|pero|sin embargo|mais|cependant|ma|però|tuttavia|mas|porém|но|однако)\b|但|不过", re.I)
+#: Of a refusal's sentences at most one in so many, but one in any case, neither declines nor accompanies.
+OTHER_OF = 6
+#: Words after a turn in a declining sentence, or of a short remark, that still give no content.
+TURN_WORDS, REMARK_WORDS = 14, 14
 _FIRST_PERSON = re.compile(r"\b(?:i|i'm|i'd|me|my|ich|mich|mir|yo|me|je|j'ai|moi|io|mi|eu|я|мне)\b|我", re.I)
 
 
@@ -103,79 +119,90 @@ def is_copy(question: str | None, answer: str) -> bool:
     return len(a) >= 6 and (q[-len(a) :] == a or q[: len(a)] == a)
 
 
+def declines(sentence: str) -> bool:
+    """Whether ``sentence`` declines: by a set phrase, or by a person, a denial and a verb of answering together."""
+    return bool(_REFUSAL.search(sentence)) or any(p.search(sentence) and n.search(sentence) and v.search(sentence) for p, n, v in _DECLINING)
+
+
+def size_of(text: str) -> float:
+    """Words, with two Han characters for one."""
+    n = len(_WORDS.findall(text))
+    return n - sum("㐀" <= c <= "鿿" for c in text) / 2
+
+
 def is_refusal(answer: str) -> bool:
-    """Declines, and no sentence beside gives content."""
+    """Declines, and no sentence beside gives content, however many there are.
+
+    What may stand beside: sentences that excuse, thank or offer another topic, and short remarks in the first
+    person. A declining sentence that turns to something else at length gives content.
+    """
     t = unicodedata.normalize("NFKC", answer).replace("’", "'")
     parts = [p.strip() for p in _SPLIT.split(t) if p.strip()]
-    if not parts or len(parts) > MOST_SENTENCES:
-        return False
-    declines = [bool(_REFUSAL.search(p)) for p in parts]
-    if not any(declines):
-        return False
-    other = 0
-    for p, d in zip(parts, declines):
-        n = len(_WORDS.findall(p))
-        han = sum("㐀" <= c <= "鿿" for c in p)
-        size = n - han + han / 2
-        if d:
-            if size > 40:
+    any_declines, other = False, 0
+    for p in parts:
+        # most answers give content at once: only what could still be a refusal is looked at closely
+        if declines(p):
+            turn = _TURN.search(p)
+            if turn and size_of(p[turn.end() :]) > TURN_WORDS and not _FIRST_PERSON.search(p[turn.end() :]):
                 return False
-        elif not _BESIDE.search(p) or size > 20:
-            # a short remark in the first person still gives no content
-            if size > 14 or size > 4 and not _FIRST_PERSON.search(p):
+            any_declines = True
+            continue
+        size = size_of(p)
+        if size > 20 or not _BESIDE.search(p):
+            if size > REMARK_WORDS or size > 4 and not _FIRST_PERSON.search(p):
                 return False
             other += 1
-    return other <= MOST_OTHER
-
+    return any_declines and other <= max(1, len(parts) // OTHER_OF)
 
-def languages_of(model: LanguageModel, text: str | None) -> tuple[Counter, set[str]]:
-    """Characters by language, and the languages with a sentence that shows them for sure."""
-    size: Counter = Counter()
-    sure: set[str] = set()
-    parts = sentences(text)
-    for s, (language, lead) in zip(parts, model.classify_all(parts)):
-        if language:
-            size[language] += len(s)
-            if lead >= SURE_LEAD and is_whole(s):
-                sure.add(language)
-    return size, sure
 
-
-def is_asked_in(model: LanguageModel, question: str | None, language: str) -> bool:
+def is_asked_in(model: LanguageModel, question: str | None, parts: list[str], scores: np.ndarray, language: str) -> bool:
     """Whether the question names ``language``, has a sentence surely in it, or in good part may be in it; true if it has no text at all."""
     if _NAMES[language].search(question or ""):
         return True
-    parts = sentences(question)
-    most, at = sum(map(len, parts)), model.names.index(language)
-    total = within = 0
-    for s in parts:
-        row = model.scores([s])[0]
-        best = row.max()
-        if best > 0:
-            total += len(s)
-            # any language that isn't clearly behind may be a question's
-            within += len(s) * (row[at] >= (1 - SURE_LEAD) * best)
-            if within > 0.15 * most or row[at] == best and model.classify(s)[1] >= SURE_LEAD:
-                return True
-    return within > 0.15 * total or total == 0
-
-
-def is_other_language(model: LanguageModel, question: str | None, answer: str) -> bool:
+    at = model.names.index(language)
+    best = scores.max(1) if len(scores) else np.zeros(0)
+    n = np.array([len(s) for s in parts], dtype=float) * (best > 0)
+    first, lead, near = model.named(scores)
+    if (near & (first == at) & (lead >= SURE_LEAD)).any():
+        return True
+    # any language that isn't clearly behind may be a question's
+    within = (n * (scores[:, at] >= (1 - SURE_LEAD) * best)).sum() if len(scores) else 0.0
+    return bool(n.sum() == 0 or within > 0.15 * n.sum())
+
+
+def is_other_language(model: LanguageModel, question: str | None, asked: tuple[list[str], np.ndarray], said: tuple[list[str], np.ndarray]) -> bool:
     """Wholly in one language, for sure, that the question is neither in nor asks for."""
-    for s in sentences(answer):
-        language, lead = model.classify(s)
-        if language and lead >= SURE_LEAD and is_whole(s):
-            # in one of the question's languages for sure: whatever follows, the answer isn't wholly in another
-            if is_asked_in(model, question, language):
-                return False
-            break
-    else:
+    parts, scores = said
+    first, lead, near = model.named(scores)
+    sure = [k for k in np.flatnonzero(near & (lead >= SURE_LEAD)) if is_whole(parts[k])]
+    if not sure or len({first[k] for k in sure}) > 1:
         return False
-    size, sure = languages_of(model, answer)
-    main, n = size.most_common(1)[0]
-    if main not in sure or len(sure) > 1 or n < 0.8 * sum(size.values()):
+    size = np.bincount(first[near], weights=np.array([len(s) for s in parts], dtype=float)[near], minlength=len(model.names))
+    main = int(size.argmax())
+    if main != first[sure[0]] or size[main] < 0.8 * size.sum():
         return False
-    return not is_asked_in(model, question, main)
+    return not is_asked_in(model, question, *asked, model.names[main])
+
+
+def other_languages(model: LanguageModel, pairs: list[tuple[str | None, str]]) -> list[bool]:
+    """:func:`is_other_language` of each pair; sentences are scored in one go, all of them only where the first ones don't settle it."""
+    if not model.names:
+        return [False] * len(pairs)
+    asked = [sentences(q) or sentences(q, quotes=True) for q, _ in pairs]
+    said = [sentences(a) or sentences(a, quotes=True) for _, a in pairs]
+    heads = model.score_lists([x[:2] for x in asked] + [x[:2] for x in said])
+    out, unsettled = [False] * len(pairs), []
+    for i, (q, a) in enumerate(zip(heads[: len(pairs)], heads[len(pairs) :])):
+        first, lead, near = model.named(a)
+        shown = {first[k] for k in np.flatnonzero(near & (lead >= SURE_LEAD)) if is_whole(said[i][k])}
+        first, lead, near = model.named(q)
+        # an answer with a sentence for sure in a language of the question isn't wholly in another
+        if not shown & set(first[near & (lead >= SURE_LEAD)]):
+            unsettled.append(i)
+    scores = model.score_lists([x for i in unsettled for x in (asked[i], said[i])])
+    for k, i in enumerate(unsettled):
+        out[i] = is_other_language(model, pairs[i][0], (asked[i], scores[2 * k]), (said[i], scores[2 * k + 1]))
+    return out
 
 
 def split_pairs(turns) -> list[tuple[int, str | None, str | None]]:
@@ -202,34 +229,52 @@ def pair_defects(conversations: DataFrame, samples: DataFrame) -> DataFrame:
     and conversations without turns give no row, nor do empty tables. Without samples no answer is in
     another language.
     """
-    small_batches(conversations.sparkSession)
     rows = turns_of(conversations)
     shared = conversations.sparkSession.sparkContext.broadcast(fitted(samples))
+    columns = ("conversation_hash", "full", "at", "found", "key", "uses", "ends")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, judge = shared.value, Judge()
 
-    def analyse(_, turns):
-        out = []
-        for i, question, answer in split_pairs(turns):
-            if is_empty(answer):
-                defects = ["empty"]
-            else:
-                said = stem(answer)
-                defects = [d for d, hit in (("copy", is_copy(question, said)), ("refusal", is_refusal(said)), ("other_language", is_other_language(shared.value, question, answer))) if hit]
-            out.append({"pair_idx": i, "defects": defects})
-        return out
+        def table(n: int, **out) -> pd.DataFrame:
+            return pd.DataFrame({c: pd.Series(out.get(c, [None] * n), dtype=object) for c in columns})
 
-    ruled = per_conversation(rows, "pair_idx:int,defects:array<string>", analyse)
+        def totals() -> pd.DataFrame:
+            _, key, uses, ends = judge.handed_on()
+            return table(len(key), key=key, uses=uses, ends=ends)
 
-    def answers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            got = [(h, i, f"{int(full)} {at}", a) for h, full, at, turns in zip(f["conversation_hash"], f["full"], f["at"], f["turns"]) for i, _, a in split_pairs(turns) if not is_empty(a)]
-            yield pd.DataFrame({c: pd.Series([g[k] for g in got], dtype=object) for k, c in enumerate(("conversation_hash", "pair_idx", "rank", "text"))})
-
-    texts = spread(rows.select("conversation_hash", "full", F.coalesce(F.col("at").cast("string"), F.lit("")).alias("at"), "turns")).mapInPandas(answers, "conversation_hash string, pair_idx int, rank string, text string")
-    ends = judged(texts.select("*", F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("max_words")), ["conversation_hash", "pair_idx"], "rank")
-    cut = ends.where("verdict = 'cut'").select("conversation_hash", "pair_idx", F.lit(True).alias("cut"))
-    both = ruled.join(cut, ["conversation_hash", "pair_idx"], "left")
-    defects = F.when(F.coalesce("cut", F.lit(False)) & ~F.array_contains("defects", "empty"), F.concat("defects", F.array(F.lit("truncated")))).otherwise(F.col("defects"))
-    return both.select("conversation_hash", "pair_idx", defects.alias("defects")).withColumn("defect", F.try_element_at("defects", F.lit(1)))
+            pairs = [split_pairs(t) for t in f["turns"]]
+            answered = [(q, a) for row in pairs for _, q, a in row if not is_empty(a)]
+            other = iter(other_languages(model, answered))
+            found = []
+            for row in pairs:
+                out = []
+                for i, question, answer in row:
+                    if is_empty(answer):
+                        out.append({"pair_idx": i, "defects": ["empty"], "n_chars": None, "verdict": None, "reason": None, "keys": None})
+                        continue
+                    said = stem(answer)
+                    rules = (("copy", is_copy(question, said)), ("refusal", is_refusal(said)), ("other_language", next(other)))
+                    verdict, reason, keys = judge.verdict(answer, None, None)
+                    out.append({"pair_idx": i, "defects": [d for d, hit in rules if hit], "n_chars": len(answer), "verdict": verdict, "reason": reason, "keys": keys})
+                found.append(out)
+            yield table(len(f), conversation_hash=list(f["conversation_hash"]), full=list(f["full"]), at=list(f["at"]), found=found)
+            if judge.full():
+                yield totals()
+        yield totals()
+
+    fields = "pair_idx:int,defects:array<string>,n_chars:int,verdict:string,reason:string,keys:array<string>"
+    source = spread(rows.select("conversation_hash", "full", F.coalesce(F.col("at").cast("string"), F.lit("")).alias("at"), "turns"))
+    both = materialise(source.mapInPandas(run, f"conversation_hash string, full boolean, at string, found array<struct<{fields}>>, key string, uses bigint, ends bigint"))
+    best = both.where("key is null").groupBy("conversation_hash").agg(F.max_by("found", F.struct("full", "at", F.size("found"))).alias("found"))
+    ruled = materialise(best.select("conversation_hash", F.explode("found").alias("f")).select("conversation_hash", "f.*", F.lit(None).cast("string").alias("source")))
+    texts = ruled.where("verdict is not null and verdict != 'blank'").select("conversation_hash", "pair_idx", "source", "n_chars", "verdict", "reason", "keys")
+    counted = both.where("key is not null").select(F.lit(None).cast("string").alias("source"), "key", "uses", "ends")
+    cut = decided(texts, counted, ["conversation_hash", "pair_idx"]).where("verdict = 'cut'").select("conversation_hash", "pair_idx", F.lit(True).alias("cut"))
+    joined = ruled.select("conversation_hash", "pair_idx", "defects").join(cut, ["conversation_hash", "pair_idx"], "left")
+    defects = F.when(F.coalesce("cut", F.lit(False)), F.concat("defects", F.array(F.lit("truncated")))).otherwise(F.col("defects"))
+    return joined.select("conversation_hash", "pair_idx", defects.alias("defects")).withColumn("defect", F.try_element_at("defects", F.lit(1)))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,11 @@
 """P2: texts that stop before their sentence, word or block does.
 
-A stack automaton reads the whole text and keeps what is open: code fences, formulas, environments,
-brackets and quotations. What is still open at the end, a broken character or escape, or a text of as
-many words as its limit without an end mark decides at once; so does a proper end. The rest, texts
-without an end mark, are held against a baseline counted over the whole collection: how often the words
-they end on end a sentence or line elsewhere, and whether unended texts of their source pile up at one
-length, as they do where a field or transfer cuts.
+A stack automaton reads the whole text once and keeps what is open: code fences, formulas, environments,
+tags, brackets and quotations. What is still open at the end, a broken character or escape, or a text of as
+many words as its limit without an end mark decides at once; so does a proper end. The rest, texts without
+an end mark, are held against the baseline of their source (that of all sources where a source has too few
+uses): how often the words they end on end a sentence or line elsewhere, and whether unended texts of the
+source pile up at one length, as they do where a field or transfer cuts.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.session import materialise, read, require_columns, small_batches, spread
+from tracelake.session import materialise, read, require_columns, spread
 
 #: A word pair ends a sentence if it does so in at least this share of its uses elsewhere.
 END_SHARE = 0.12
 #: Uses elsewhere from which a pair's own share counts; below, the last word's share does.
 ENOUGH = 3
+#: Uses within the text's own source from which they count in place of those in all sources.
+ENOUGH_OWN = 25
 #: A length is a cut length if at least so many unended texts of a source have it, and so many times its neighbours' mean.
 SPIKE_COUNT, SPIKE_TIMES, SPIKE_WIDTH = 5, 6.0, 8
 #: Words up to which a last line of its own is held against lines that begin and end as it does.
@@ -35,56 +37,135 @@ MEMO_ENTRIES = 300_000
 _TERMINATORS = ".!?。！？؟।"
 _CLOSERS = "\"'”’»›)]}」』）】*_~"
 _TAGS = re.compile(r"(?:<\|[\w ]{1,30}\|>|</?[A-Za-z][\w-]{0,15}\s*/?>|\[(?:truncated|\.\.\.|…|cut|continued|more)\]|\((?:truncated|continued|cont\.|\.\.\.|…)\))\s*$", re.I)
-_TRAILING = re.compile(r"[\s\u200b\u200c\u200d\ufeff\u00ad\x00-\x1f]+$")
+_BLANK = " \t\n\r\f\v\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000\u200b\u200c\u200d\ufeff\u00ad" + "".join(map(chr, [*range(0x00, 0x20), *range(0x2000, 0x200B)]))
 _ELLIPSIS = re.compile(r"\s*(?:…|\.{3,}|⋯)+$")
 _TOKEN = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+(?:['’][^\W\d_㐀-鿿]+)*|\d+|[^\w\s]")
 _SPAN = re.compile(r"```.*?```|\$\$.*?\$\$|\$[^$\n]*\$|\\\[.*?\\\]|`[^`\n]+`|\\[a-zA-Z]+(?:\{[^{}\n]*\})+|https?://\S+", re.S)
-_END_MARK = re.compile(r"[" + re.escape(_TERMINATORS) + r"]+[" + re.escape(_CLOSERS) + r"]*(?=\s|$)|[。！？]+[”」』）]*|\s*…(?=\s|$)|\n+")
+_PIECE = re.compile(r"\n|" + _TOKEN.pattern)
+_DIGITS = re.compile(r"\d+")
+_END_MARK = re.compile(r"[" + re.escape(_TERMINATORS) + r"]+[" + re.escape(_CLOSERS) + r"]*(?=\s|$)|[。！？]+[”」』）]*|…(?=\s|$)|\n+")
 _ENVIRONMENT = re.compile(r"\\(begin|end)\{([\w*]+)\}")
 _LABELLED = re.compile(r"(?:^|\n)\s*(?:[*_]{0,2}[^\W\d_][\w ]{0,20}[*_]{0,2}\s*[:：=]|=|→|⇒)\s*\S{1,24}$")
 _BARE = re.compile(r"(?:^|\n)\s*[*_$#]{0,3}[-+]?[\d.,/]+[*_$]{0,3}$")
 _SIGNED = re.compile(r"(?:^|\n)[^\n,.!?]{2,40},\s*\n\s*[^\n.!?,]{1,40}$")
 _BOXED = re.compile(r"\\boxed\{[^{}\n]*\}\$?$")
 _RULE = re.compile(r"(?:^|\n)\s*(?:-{3,}|\*{3,}|_{3,}|={3,})$")
-_HALF_ESCAPE = re.compile(r"(?:\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&(?:#\d*|[a-z]{1,6})|%[0-9A-Fa-f]?)$")
-_PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«", "」": "「", "』": "『", "）": "（", "】": "【"}
+_HALF_ESCAPE = re.compile(r"(?:\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&(?:#x?[0-9a-fA-F]*|am|amp|ap|apo|apos|lt|gt|qu|quo|quot|nb|nbs|nbsp)?|%[0-9A-Fa-f]|%[0-9A-Fa-f]{2}%)$")
+_HALF_CHARACTER = re.compile("(?:[\ufffd\ud800-\udfff]|Ã|â€)$")
+_PAIRS = {")": "([", "]": "[(", "}": "{", "”": "“„", "»": "«", "」": "「", "』": "『", "）": "（", "】": "【"}
+_OPENERS = frozenset("([{“„«「『（【")
+# Elements whose end tag may not be left out.
+_ELEMENTS = frozenset("a article aside b blockquote body code details div em figure footer form h1 h2 h3 h4 h5 h6 head header html i main nav ol pre script section select span strong style sub summary sup svg table textarea title tt u ul video".split())
+_MARK = re.compile(
+    r"(?P<skip>```.*?```|``[^\n]+?``|`[^`\n]+`|\$\$.*?\$\$|\$[^$\n]+\$|\\[^\W\d_()\[\]]+(?<!\\begin)(?<!\\end)|\\[{}$\\\"'`|&%#_,;:! ])"
+    r"|(?P<env>\\(?:begin|end)\{[\w*]+\})|(?P<math>\\[\[\]()]|\$\$?)|(?P<tag></?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>)|(?P<tick>```+|~~~+|`)|(?P<bracket>[()\[\]{}“”„«»「」『』（）【】])|(?P<quote>\")",
+    re.S,
+)
+_SPECIAL = re.compile(r"[`~$\\<()\[\]{}“”„«»「」『』（）【】\"]")
+_SMILEY = re.compile(r"(?<![\w])[:;][-^']?$")
+_MONEY = re.compile(r"\d[\d.,]*(?:\W|\s|$)")
 
 
 def stem(text: str) -> str:
     """``text`` without what may trail a cut or an end: blanks, tags, end-of-text marks and ellipses."""
     while True:
-        t = _TRAILING.sub("", text)
-        t = _TAGS.sub("", t)
-        t = _ELLIPSIS.sub("", t) if len(_ELLIPSIS.sub("", t)) and not t.endswith("....") else t
+        t = text.rstrip(_BLANK)
+        if t and t[-1] in ">])":
+            t = _TAGS.sub("", t)
+        dots = len(t.rstrip("….⋯"))
+        if dots < len(t) and not t.endswith("...."):
+            kept = t[:dots] + _ELLIPSIS.sub("", t[dots:])
+            if len(kept) < len(t) and kept.rstrip(_BLANK):
+                t = kept.rstrip(_BLANK)
         if t == text:
             return t
         text = t
 
 
 def open_blocks(text: str) -> list[str]:
-    """What is still open at the end of ``text``, outermost first."""
+    """What is still open at the end of ``text``, outermost first: one pass of the automaton over its marks.
+
+    In a code block nothing but its fence counts, in a code line or short formula nothing. A closing mark
+    closes the nearest opening one of its kind, with what stands open inside; one without an opening mark
+    closes nothing. Round and square brackets close each other (half-open intervals). Straight quotes open
+    before a word and close after one, within a paragraph; a lone $ before an amount is money, and one that
+    isn't in the last line is a plain character, as is a lone backtick.
+    """
     stack: list[str] = []
-    if len(re.findall(r"^\s*(?:```|~~~)", text, re.M)) % 2 or text.count("```") % 2:
-        return ["```"]
-    for m in _ENVIRONMENT.finditer(text):
-        if m[1] == "begin":
-            stack.append("\\begin{" + m[2])
-        elif stack and stack[-1] == "\\begin{" + m[2]:
-            stack.pop()
-    bare = re.sub(r"```.*?```|`[^`\n]+`", " ", text, flags=re.S)
-    last = bare.rsplit("\n", 1)[-1]
-    lone = re.sub(r"\$[^$\n]*\$", " ", last)
-    # a lone $ in front of an amount is money
-    if "$" in lone and not re.match(r"\d[\d.,]*(?:\s|$)", lone.rsplit("$", 1)[1]):
-        stack.append("$")
-    no_math = re.sub(r"\$[^$\n]*\$", " ", last)
-    inner: list[str] = []
-    for c in no_math:
-        if c in "([{“«「『（【":
-            inner.append(c)
-        elif c in _PAIRS and inner and inner[-1] == _PAIRS[c]:
-            inner.pop()
-    return stack + inner
+    first = _SPECIAL.search(text)
+    if not first:
+        return stack
+    last_line = text.rfind("\n") + 1
+    last_paragraph = text.rfind("\n\n") + 1
+    pos, end = first.start(), len(text)
+    while pos < end and (m := _MARK.search(text, pos)):
+        kind, mark, at = m.lastgroup, m[0], m.start()
+        pos = m.end()
+        long = mark[:3] in ("```", "~~~")
+        if long and not text[text.rfind("\n", 0, at) + 1 : at].strip():
+            # a fence: up to the next one of its kind nothing else counts
+            fence = mark[: len(mark) - len(mark.lstrip(mark[0]))]
+            close = re.compile(r"\n[ \t]*" + fence + "[" + fence[0] + "]*").search(text, at + len(fence)) or (re.compile(fence).search(text, at + len(fence)) if fence[0] == "`" else None)
+            if close is None:
+                return [*stack, fence]
+            pos = close.end()
+            continue
+        if kind == "skip":
+            continue
+        if kind == "env":
+            name = mark[mark.index("{") :]
+            if mark.startswith("\\begin"):
+                stack.append("\\begin" + name)
+            elif "\\begin" + name in stack:
+                del stack[len(stack) - 1 - stack[::-1].index("\\begin" + name) :]
+        elif kind == "math":
+            if mark in ("\\[", "\\("):
+                stack.append(mark)
+            elif mark in ("\\]", "\\)"):
+                opening = "\\[" if mark == "\\]" else "\\("
+                if opening in stack:
+                    del stack[len(stack) - 1 - stack[::-1].index(opening) :]
+            elif mark == "$$" or at >= last_line and not _MONEY.match(text, at + 1):
+                stack.append(mark)
+        elif kind == "tag":
+            name = re.match(r"</?(\w+)", mark)[1].lower()
+            if name in _ELEMENTS and not mark.endswith("/>"):
+                if mark[1] != "/":
+                    stack.append("<" + name)
+                elif "<" + name in stack:
+                    del stack[len(stack) - 1 - stack[::-1].index("<" + name) :]
+        elif kind == "tick":
+            if mark.startswith("```"):
+                return [*stack, mark]
+            if at >= last_line and mark == "`":
+                stack.append("`")
+        elif kind == "bracket":
+            if mark in "()[]{}" and text[at - 1 : at] in (":", ";", "-", "^", "'") and _SMILEY.search(text[max(0, at - 3) : at]):
+                continue
+            if mark == "“" and "„" in stack:
+                mark = "”"
+            if mark == "»" and "«" not in stack and not text[at - 1 : at].strip():
+                stack.append(mark)
+            elif mark == "«" and "»" in stack:
+                del stack[len(stack) - 1 - stack[::-1].index("»") :]
+            elif mark in _OPENERS:
+                # a quotation of several paragraphs opens anew in each, and closes once
+                if not (mark in "“„«" and mark in stack and text[:at].rstrip(" ").endswith("\n")):
+                    stack.append(mark)
+            else:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k] in _PAIRS[mark]:
+                        del stack[k:]
+                        break
+                    if stack[k][0] in "\\<$" or mark in ")]}" and stack[k] in "“„«":
+                        break
+        elif kind == "quote":
+            before, after = text[at - 1 : at], text[at + 1 : at + 2]
+            if '"' in stack and before.strip():
+                del stack[len(stack) - 1 - stack[::-1].index('"') :]
+            elif at >= last_paragraph and after.strip() and (not before.strip() or before in "([{=:,>—–-"):
+                stack.append('"')
+    return stack
 
 
 def tokens_of(sentence: str) -> list[str]:
@@ -99,7 +180,7 @@ def keys_of(tokens: list[str]) -> list[str]:
     """Keys of a sentence end: word pair, last word, and the word before if the last is capitalised."""
     last = tokens[-1].lower()
     before = tokens[-2].lower() if len(tokens) > 1 else "^"
-    return [f"2 {before} {last}", f"1 {last}", f"N {before}" if tokens[-1][:1].isupper() else f"n {before}"]
+    return [f"2 {before} {last}", f"1 {last}", f"{'N' if tokens[-1][:1].isupper() else 'n'} {before}"]
 
 
 def plain(text: str) -> str:
@@ -110,18 +191,18 @@ def structure(text: str | None, max_words: int | None = None) -> tuple[str, str,
     """``(verdict, reason, keys)``: verdict is blank, done, cut or open; an open text comes with its keys."""
     if text is None or not text.strip("\u200b\ufeff \t\r\n\f\v\u00a0\u3000"):
         return "blank", "blank", []
-    whole = _TRAILING.sub("", text)
     t = stem(text)
     if not t:
         return "open", "only an ellipsis", keys_of(["…"])
-    if t.endswith("\ufffd") or whole.endswith("\ufffd"):
+    if _HALF_CHARACTER.search(t[-2:]) or _HALF_CHARACTER.search(text.rstrip(_BLANK)[-2:]):
         return "cut", "broken character", []
     opened = open_blocks(t)
-    if opened and (opened[0][0] in "`\\$"):
+    if opened and (opened[0][0] in "`~\\$<" or opened[-1][0] in "`~\\$"):
         return "cut", f"open {opened[0]}", []
-    if t.endswith("```") or _BOXED.search(t) or _RULE.search(t) or _SIGNED.search(t) or _BARE.search(t):
+    lines = t[max(0, t.rfind("\n", 0, max(0, t.rfind("\n")))) :]
+    if t.endswith("```") or _BOXED.search(t) or _RULE.search(lines) or _SIGNED.search(t) or _BARE.search(lines):
         return "done", "block", []
-    if _HALF_ESCAPE.search(t) and t[-1] in "\\&":
+    if _HALF_ESCAPE.search(t[-12:]):
         return "cut", "broken escape", []
     core = t.rstrip()
     while core and (core[-1] in _CLOSERS or unicodedata.category(core[-1]) in ("So", "Sk", "Sm", "Mn", "Cf") and core[-1] not in "=+<>|~^" or ord(core[-1]) > 0x1F000):
@@ -129,14 +210,11 @@ def structure(text: str | None, max_words: int | None = None) -> tuple[str, str,
         core = _ELLIPSIS.sub("", core)
     ended = core[-1:] in _TERMINATORS if core else False
     if ended:
-        # an opening bracket or quotation at the start of a sentence that never closes
-        if opened and re.search(r"(?:^|[.!?。！？]\s|\n)\s*" + re.escape(opened[0]) + r"[^()“”«»\[\]{}]*$", t):
-            return "cut", f"open {opened[0]}", []
-        return "done", "end mark", []
+        return ("cut", f"open {opened[-1]}", []) if opened else ("done", "end mark", [])
     symbol = core != t and unicodedata.category(t[-1]) in ("So", "Sk", "Sm", "Cf", "Mn") or ord(t[-1]) > 0x1F000
     if symbol and t[-1] not in "=+<>|~^":
         return "done", "closing symbol", []
-    if _LABELLED.search(t):
+    if _LABELLED.search(lines):
         return "done", "label", []
     dangling = re.search(r"[(\[{“«„,:;\-–—/&+=<'\"]$", t)
     u = re.sub(r"[\s(\[{“«„,;:\"'<]+$", "", t) if dangling else t
@@ -162,32 +240,78 @@ def structure(text: str | None, max_words: int | None = None) -> tuple[str, str,
     return "open", "dangling mark" if dangling else "no end mark", keys
 
 
-def count_ends(text: str, counts: Counter, ends: Counter) -> None:
-    """Adds the uses of every word pair and word in ``text``, and those at the end of a sentence or line."""
-    pos, body = 0, plain(stem(text))
-    spots = [(m.start(), m.end()) for m in _END_MARK.finditer(body)] + [(len(body), len(body))]
-    for a, b in spots:
-        toks = tokens_of(body[pos:a])
-        pos = b
-        if not toks:
-            continue
-        before = "^"
-        for i, tok in enumerate(toks):
-            low = tok.lower()
-            up = "N" if tok[:1].isupper() else "n"
-            counts[f"2 {before} {low}"] += 1
-            counts[f"1 {low}"] += 1
-            counts[f"{up} {before}"] += 1
-            before = low
-        if a < len(body):
-            for k in keys_of(toks):
-                ends[k] += 1
-    for line in body.split("\n")[1:]:
-        toks = tokens_of(line[:80])
-        for n in range(1, min(len(toks), SHORT_LINE) + 1):
-            counts[line_key(toks[:n])] += 1
-        if 0 < len(toks) <= SHORT_LINE:
-            ends[line_key(toks)] += 1
+class EndCounts:
+    """Uses of words and word pairs in the texts of one source, and their uses at the end of a sentence or line."""
+
+    def __init__(self) -> None:
+        self.pairs: Counter = Counter()
+        self.capitals: Counter = Counter()
+        self.ends: Counter = Counter()
+        self.lines: Counter = Counter()
+        self.line_ends: Counter = Counter()
+
+    def __len__(self) -> int:
+        return len(self.pairs) + len(self.capitals) + len(self.ends) + len(self.lines)
+
+    def add(self, text: str) -> None:
+        body = plain(stem(text))
+        toks = ["\n", *_PIECE.findall(_DIGITS.sub("0", _END_MARK.sub("\n", body)))]
+        low = list(map(str.lower, toks))
+        self.pairs.update(zip(low, low[1:]))
+        self.capitals.update([b for b, t in zip(low, toks[1:]) if t[0].isupper()])
+        self.ends.update([(low[i - 2] if i > 1 else "\n", low[i - 1], toks[i - 1][0].isupper()) for i in range(1, len(toks)) if toks[i] == "\n" and toks[i - 1] != "\n"])
+        for line in body.split("\n")[1:]:
+            first = [m[0] for _, m in zip(range(SHORT_LINE + 1), _TOKEN.finditer(line))]
+            first = ["0" if t.isdigit() else t for t in first]
+            for n in range(1, min(len(first), SHORT_LINE) + 1):
+                self.lines[line_key(first[:n])] += 1
+            if 0 < len(first) <= SHORT_LINE:
+                self.line_ends[line_key(first)] += 1
+
+    def totals(self) -> dict[str, list[int]]:
+        """``[uses, ends]`` by key, for the keys that :func:`keys_of` and :func:`line_key` give."""
+        out: dict[str, list[int]] = {}
+        for (b, w), n in self.pairs.items():
+            if w != "\n":
+                out[f"2 {'^' if b == '\n' else b} {w}"] = [n, 0]
+                one = out.setdefault(f"1 {w}", [0, 0])
+                one[0] += n
+        for b, n in self.capitals.items():
+            out[f"N {'^' if b == '\n' else b}"] = [n, 0]
+        for (b, w, up), n in self.ends.items():
+            b = "^" if b == "\n" else b
+            out[f"2 {b} {w}"][1] += n
+            out[f"1 {w}"][1] += n
+            if up:
+                out[f"N {b}"][1] += n
+        for k, n in self.lines.items():
+            out[k] = [n, self.line_ends[k]]
+        return out
+
+
+class Judge:
+    """Verdicts of a task's texts, and the counts it has gathered since it last handed them on."""
+
+    def __init__(self) -> None:
+        self.counts: dict[str | None, EndCounts] = {}
+
+    def verdict(self, text: str | None, max_words, source: str | None) -> tuple[str, str, list[str]]:
+        limit = None if max_words is None or max_words != max_words else int(max_words)
+        got = structure(text, limit)
+        if got[0] != "blank":
+            if source not in self.counts:
+                self.counts[source] = EndCounts()
+            self.counts[source].add(text)
+        return got
+
+    def full(self) -> bool:
+        return sum(map(len, self.counts.values())) > MEMO_ENTRIES
+
+    def handed_on(self) -> tuple[list, list, list, list]:
+        """Columns source, key, uses and ends; the counts start anew."""
+        rows = [(s, k, u, e) for s, c in self.counts.items() for k, (u, e) in c.totals().items()]
+        self.counts = {}
+        return tuple(map(list, zip(*rows))) if rows else ([], [], [], [])
 
 
 def judged(texts: DataFrame, ids: list[str], order: str | None = None) -> DataFrame:
@@ -200,61 +324,62 @@ def judged(texts: DataFrame, ids: list[str], order: str | None = None) -> DataFr
     word ends another of its sentences.
     """
     require_columns(texts, *ids, "source", "max_words", "text")
-    small_batches(texts.sparkSession)
     kinds = dict(texts.dtypes)
     order_col = F.col(order).cast("string") if order else F.lit(None).cast("string")
     rows = spread(texts.select(*ids, "source", F.col("max_words").cast("int").alias("max_words"), order_col.alias("__order"), "text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [*ids, "source", "__order", "n_chars", "verdict", "reason", "keys", "key", "uses", "ends"]
-        counts: Counter = Counter()
-        ends: Counter = Counter()
+        judge = Judge()
+
+        def table(n: int, **out) -> pd.DataFrame:
+            return pd.DataFrame({c: pd.Series(out.get(c, [None] * n), dtype=object) for c in columns})
 
         def totals() -> pd.DataFrame:
-            out = {"key": list(counts), "uses": list(counts.values()), "ends": [ends[k] for k in counts]}
-            frame = pd.DataFrame({c: pd.Series(out.get(c, [None] * len(counts)), dtype=object) for c in columns})
-            counts.clear()
-            ends.clear()
-            return frame
+            source, key, uses, ends = judge.handed_on()
+            return table(len(key), source=source, key=key, uses=uses, ends=ends)
 
         for f in frames:
-            found = []
-            for text, limit in zip(f["text"], f["max_words"]):
-                limit = None if limit is None or limit != limit else int(limit)
-                verdict, reason, keys = structure(text, limit)
-                found.append((verdict, reason, keys))
-                if verdict != "blank":
-                    count_ends(text, counts, ends)
+            found = [judge.verdict(t, n, s) for t, n, s in zip(f["text"], f["max_words"], f["source"])]
             keep = [i for i, x in enumerate(found) if x[0] != "blank"]
             out = {c: [f[c].iat[i] for i in keep] for c in [*ids, "source", "__order"]}
-            out["n_chars"] = [len(f["text"].iat[i]) for i in keep]
-            for k, c in enumerate(("verdict", "reason", "keys")):
-                out[c] = [found[i][k] for i in keep]
-            yield pd.DataFrame({c: pd.Series(out.get(c, [None] * len(keep)), dtype=object) for c in columns})
-            if len(counts) > MEMO_ENTRIES:
+            yield table(len(keep), **out, n_chars=[len(f["text"].iat[i]) for i in keep], **{c: [found[i][k] for i in keep] for k, c in enumerate(("verdict", "reason", "keys"))})
+            if judge.full():
                 yield totals()
         yield totals()
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*ids, "source"]) + ", __order string, n_chars int, verdict string, reason string, keys array<string>, key string, uses bigint, ends bigint"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ids) + ", source string, __order string, n_chars int, verdict string, reason string, keys array<string>, key string, uses bigint, ends bigint"
     both = materialise(rows.mapInPandas(run, schema))
     last = F.max_by(F.struct("source", "n_chars", "verdict", "reason", "keys"), F.coalesce("__order", F.lit("")))
     one = both.where("key is null").groupBy(*ids).agg(last.alias("x")).select(*ids, "x.*")
-    one = materialise(one)
-    baseline = both.where("key is not null").groupBy("key").agg(F.sum("uses").alias("uses"), F.sum("ends").alias("ends"))
+    return decided(materialise(one), both.where("key is not null").select("source", "key", "uses", "ends"), ids)
 
-    # lengths at which the unended texts of a source pile up
+
+def decided(one: DataFrame, counted: DataFrame, ids: list[str]) -> DataFrame:
+    """``ids, source, verdict, reason``: the open texts of ``one`` held against the baseline ``counted``.
+
+    ``one`` has a row per text with ``ids, source, n_chars, verdict, reason, keys``, ``counted`` partial counts
+    with ``source, key, uses, ends``.
+    """
     from pyspark.sql import Window
 
+    # lengths at which the unended texts of a source pile up
     per_length = one.where("verdict in ('open', 'cut')").groupBy("source", "n_chars").agg(F.count("*").alias("n"))
     near = Window.partitionBy("source").orderBy("n_chars").rangeBetween(-SPIKE_WIDTH, SPIKE_WIDTH)
     others = (F.sum("n").over(near) - F.col("n")) / (2.0 * SPIKE_WIDTH)
     spikes = per_length.withColumn("others", others).where((F.col("n") >= SPIKE_COUNT) & (F.col("n") > SPIKE_TIMES * F.col("others"))).select(F.col("source").alias("__s"), F.col("n_chars").alias("__n"), F.lit(True).alias("spike"))
 
     open_ = one.where("verdict = 'open'")
-    asked = open_.select(*ids, F.posexplode("keys").alias("level", "key")).join(baseline, "key", "left")
+    # one row per key: the counts of all sources, and those of each by name
+    per_source = counted.groupBy("key", F.coalesce("source", F.lit("")).alias("s")).agg(F.sum("uses").alias("uses"), F.sum("ends").alias("ends"))
+    baseline = per_source.groupBy("key").agg(F.sum("uses").alias("uses"), F.sum("ends").alias("ends"), F.map_from_entries(F.collect_list(F.struct("s", F.struct("uses", "ends")))).alias("by"))
+    asked = open_.select(*ids, "source", F.posexplode("keys").alias("level", "key")).join(baseline, "key", "left")
+    asked = asked.withColumn("own", F.try_element_at("by", F.coalesce("source", F.lit(""))))
+    # a text's own use of its last words is left out of what it is held against
+    alone = F.coalesce(F.col("own.uses") - 1, F.lit(0)) >= ENOUGH_OWN
+    asked = asked.select(*ids, "level", F.when(alone, F.col("own.uses")).otherwise(F.col("uses")).alias("uses"), F.when(alone, F.col("own.ends")).otherwise(F.col("ends")).alias("ends"))
     level = lambda k, c: F.max(F.when(F.col("level") == k, F.col(c)))
     stats = asked.groupBy(*ids).agg(*[level(k, c).alias(f"{c}{k}") for k in range(3) for c in ("uses", "ends")])
-    # a text's own use of its last words is left out of what it is held against
     use = lambda k: F.coalesce(F.col(f"uses{k}") - 1, F.lit(0))
     end = lambda k: F.coalesce(F.col(f"ends{k}"), F.lit(0))
     finished = (
@@ -264,8 +389,9 @@ def judged(texts: DataFrame, ids: list[str], order: str | None = None) -> DataFr
     )
     kept = open_.join(stats, ids, "left").join(spikes, F.col("source").eqNullSafe(F.col("__s")) & (F.col("n_chars") == F.col("__n")), "left")
     kept = kept.withColumn("capital", F.element_at("keys", 3).startswith("N"))
-    decided = kept.select(*ids, "source", F.when(F.coalesce("spike", F.lit(False)), "cut").when(finished, "done").otherwise("cut").alias("verdict"), F.when(F.coalesce("spike", F.lit(False)), "cut length").otherwise(F.col("reason")).alias("reason"))
-    return one.where("verdict != 'open'").select(*ids, "source", "verdict", "reason").unionByName(decided)
+    spike = F.coalesce("spike", F.lit(False))
+    ruled = kept.select(*ids, "source", F.when(spike, "cut").when(finished, "done").otherwise("cut").alias("verdict"), F.when(spike, "cut length").otherwise(F.col("reason")).alias("reason"))
+    return one.where("verdict != 'open'").select(*ids, "source", "verdict", "reason").unionByName(ruled)
 
 
 def normal_source(c: str) -> Column:
