@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +24,17 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where neither that nor a folder set on
-    the context exists (tests on one machine) is a temporary one made.
+    The folder is the cluster's ``spark.checkpoint.dir``. Only on one machine (a local master, as in tests) is a
+    temporary one made where neither that nor a folder set on the context exists; on a cluster this is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tracelake-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="tracelake-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -36,15 +42,13 @@ def spread(df: DataFrame) -> DataFrame:
     """Spread a scan over the cores if its files give fewer partitions than there are cores.
 
     Meant for scans in front of CPU-heavy Arrow stages. On inputs with at least as many splits as
-    cores (any large input) the scan is returned as it is, without a shuffle.
+    cores (any large input) the scan is returned as it is, without a shuffle. So is what has a shuffle
+    below already, whose number of partitions is only known when it runs.
     """
     sc = df.sparkSession.sparkContext
-    if df._jdf.queryExecution().toRdd().getNumPartitions() < sc.defaultParallelism:
+    execution = df._jdf.queryExecution()
+    if "Exchange" in execution.executedPlan().toString():
+        return df
+    if execution.toRdd().getNumPartitions() < sc.defaultParallelism:
         return df.repartition(sc.defaultParallelism)
     return df
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches of text stages, so that long texts don't pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
