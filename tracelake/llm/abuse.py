@@ -4,8 +4,9 @@ Words are restored first: invisible characters, look-alike letters, stretched le
 one by one and digits or signs put for letters. A restored word is then run through the trie of the
 lexicon by a Levenshtein automaton, in which a masked character matches any letter; words a few letters
 away from a term count for it, swaps of neighbours as one edit, unless they are everyday words. The hits of a
-sentence and of its neighbours are scored together with who is addressed and what is demanded; words that
-are only quoted or spoken of lose their weight.
+sentence are scored with who is addressed and what is demanded, in it or in the sentence before. Words that
+are only quoted or spoken of lose their weight: what stands in quotation marks, which may span sentences, loses
+it where the sentence around it or one beside it says that something is quoted or reported.
 """
 
 from __future__ import annotations
@@ -18,13 +19,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.lexicon import EVERYDAY, PHRASES, TRIGGERS, WEIGHTS, WORDS
+from tracelake.llm.lexicon import CLAIMS, EVERYDAY, PHRASES, REPORTED, TRIGGERS, WEIGHTS, WORDS
 from tracelake.session import read, require_columns, spread
 
 #: Score from which a sentence, and with it the document, counts as abusive.
 ABUSIVE = 1.5
 #: What is left of a sentence's score when it only speaks of the words.
 MENTIONED = 0.2
+#: Words up to which a sentence takes its addressee from the one before, and the addressee's weight then.
+CALLED_OUT, ADDRESSED_BEFORE = 5, 0.8
+#: Letters of a word, repeats and joining signs left out, up to which it is restored.
+LONGEST = 40
 #: Length from which a word may be one edit, and two edits, away from a term.
 ONE_EDIT, TWO_EDITS = 5, 11
 #: Marks the classes of a word that is a term only but for a slip.
@@ -42,9 +47,14 @@ _CHUNK = re.compile(r"[\w$@!€+*%#•|][\w$@!€+*%#•|'’-]*")
 _SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ ._\-*·/~]){2,}[^\W\d_](?![^\W_])")
 _HAN_GAP = re.compile(r"(?<=[㐀-鿿])[\s\-_.*·~​]+(?=[㐀-鿿])")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+|(?<=[。！？])|\n+")
+_ADDRESS = re.compile(next(p for k, w, p in PHRASES if k == "aim" and w == 1.0))
 _LATIN, _CYRILLIC = re.compile(r"[a-z]"), re.compile(r"[а-яё]")
 _COMPILED = [(kind, weight, re.compile(p)) for kind, weight, p in PHRASES]
 _COPULA = re.compile(r"\b(?:are|is|were|sind|ist|gehört|son|es|sont|sono|são|é|è|а)\b|[—是]")
+_QUOTATION = re.compile(r"“[^“”]+”|„[^“”„]+[“”]|«[^«»]+»|「[^「」]+」|(?<![\w\"])\"[^\"\n]+\"(?!\w)|(?<![\w'])'[^'\n]{3,}?'(?!\w)")
+_REPORTED = re.compile(REPORTED)
+_CLAIMS = re.compile(CLAIMS)
+_REPEATS = re.compile(r"(.)\1{2,}")
 _QUOTED_WORD = re.compile(r"[\"“„«‘'](\w+)[\"”“»’'](?=\s)")
 
 
@@ -169,8 +179,13 @@ class Scorer:
         none: frozenset[str] = frozenset()
         plain = token.strip("!_*'+|-")
         letters = sum(c.isalpha() for c in token)
-        if letters < 1 or len(token) > 40 or token.isdigit():
+        if letters < 1 or token.isdigit():
             return plain or token, none
+        if len(token) > LONGEST:
+            token = _REPEATS.sub(r"\1", token)
+            plain = token.strip("!_*'+|-")
+            if len(token.replace("-", "").replace("_", "").replace("*", "")) > LONGEST:
+                return plain or token, none
         forms = [plain]
         disguised = any(c in LEET or c in _MASKS for c in token.rstrip("!")) or "-" in plain or "_" in plain
         if disguised:
@@ -189,10 +204,10 @@ class Scorer:
                 bare = "".join(c for c in unicodedata.normalize("NFKD", f) if not unicodedata.combining(c))
                 forms.append(bare)
         for f in list(forms):
-            squeezed = re.sub(r"(.)\1{2,}", r"\1", f)
+            squeezed = _REPEATS.sub(r"\1", f)
             if squeezed != f:
                 disguised = True
-                forms += [squeezed, re.sub(r"(.)\1{2,}", r"\1\1", f)]
+                forms += [squeezed, _REPEATS.sub(r"\1\1", f)]
         forms = list(dict.fromkeys(x for x in forms if x))
         for f in forms:
             if f.count("?") * 2 > len(f) + 4 or f.count("?") >= len(f) - 1:
@@ -218,22 +233,29 @@ class Scorer:
         longer, shorter = (word, term) if len(word) > len(term) else (term, word)
         return any(longer[i] == longer[i - 1] and longer[:i] + longer[i + 1 :] == shorter for i in range(1, len(longer))) or len(word) < len(term) and len(word) >= 6
 
-    def sentence(self, text: str) -> tuple[float, set[str]]:
-        """Score and classes of one sentence of restored text."""
-        restored, kinds = text, []
-        for token in _CHUNK.findall(text):
-            word, found = self.restore(token)
+    def sentence(self, text: str, aimed: float = 0.0, spans: tuple[tuple[int, int], ...] = (), framed: bool = False) -> tuple[float, set[str], float]:
+        """Score and classes of one sentence of restored text, and how clearly it addresses someone.
+
+        ``aimed`` is the weight of the addressee in the sentence before, ``spans`` the parts of this one that
+        stand in quotation marks, ``framed`` whether a sentence beside it says that something is quoted.
+        """
+        restored, kinds, outside = text, [], False
+        for m in _CHUNK.finditer(text):
+            word, found = self.restore(m[0])
             if found:
                 kinds.append(found)
-                restored = restored.replace(token, word, 1)
+                outside |= not any(a <= m.start() < b for a, b in spans)
+                restored = restored.replace(m[0], word, 1)
         if not kinds and next(self.triggers.iter(text), None) is None:
-            return 0.0, set()
+            return 0.0, set(), 1.0 if _ADDRESS.search(text) else 0.0
+        bare = "".join(" " if any(a <= i < b for a, b in spans) else c for i, c in enumerate(text)) if spans else text
         hits = [(k, w) for k, w, p in _COMPILED if p.search(restored)]
+        here = max([w for k, w in hits if k == "aim"], default=0.0)
         if not kinds and not any(k in ("threat", "wish", "call", "act", "noun", "dehum") for k, _ in hits):
-            return 0.0, set()
+            return 0.0, set(), here
         # a slip could be a name or a word of another language: it needs a sure word or a person spoken to beside it
         if all(SLIP in found for found in kinds) and not any(k in ("adj", "wish", "threat", "call", "act") or k == "aim" and w >= 1.0 or k == "group" and any("dehum" in found for found in kinds) for k, w in hits):
-            return 0.0, set()
+            return 0.0, set(), here
         total = {k: 0.0 for k in ("noun", "adj", "dehum", "sex")}
         for found in kinds:
             for k in found - {SLIP}:
@@ -244,6 +266,8 @@ class Scorer:
         noun = total["noun"] + by.get("noun", 0.0)
         adj = total["adj"] + by.get("adj", 0.0)
         dehum = total["dehum"] + by.get("dehum", 0.0)
+        if len(restored.split()) <= CALLED_OUT:
+            by["aim"] = max(by.get("aim", 0.0), ADDRESSED_BEFORE * aimed)
         aim, wish, threat = by.get("aim", 0.0), by.get("wish", 0.0), by.get("threat", 0.0)
         scores = {
             "insult": (noun + min(adj, 1.2) + aim if noun else 0.0) + (wish if noun or wish >= 1.5 else 0.0),
@@ -253,27 +277,50 @@ class Scorer:
         }
         if noun and not adj and not wish and not threat and aim < 1.0:
             scores["insult"] = min(scores["insult"], noun + aim - 0.2)
-        factor = MENTIONED if by.get("mention") or _QUOTED_WORD.search(text) and threat == 0 else 1.0
-        out = {k: v * factor for k, v in scores.items()}
-        return max(out.values()), {k for k, v in out.items() if v >= ABUSIVE}
+        if spans and not outside and kinds:
+            outside = any(p.search(bare) for k, w, p in _COMPILED if k in ("threat", "wish", "call", "act", "noun", "dehum"))
+        only_quoted = bool(spans) and not outside
+        # a subject merely named doesn't soften what is said to someone's face
+        spoken_of = by.get("mention", 0.0) >= 1.0 or bool(_CLAIMS.search(restored)) and (aim < 1.0 or only_quoted)
+        quoted = only_quoted and (framed or bool(_REPORTED.search(bare))) or threat == 0 and bool(_QUOTED_WORD.search(text))
+        out = {k: v * (MENTIONED if spoken_of or quoted else 1.0) for k, v in scores.items()}
+        return max(out.values()), {k for k, v in out.items() if v >= ABUSIVE}, here
 
     def document(self, text: str | None) -> tuple[float, list[str]]:
-        """The highest score of a sentence, a neighbour adding a little, and the classes that reach the threshold."""
+        """The highest score of a sentence within its window, and the classes that reach the threshold."""
         if not text or not text.strip():
             return 0.0, []
         t = _HAN_GAP.sub("", without_marks(text))
         t = _SPELLED.sub(lambda m: re.sub(r"[ ._\-*·/~]", "", m[0]), t)
-        best, classes, before = 0.0, set(), 0.0
-        for part in _SENTENCE.split(t):
-            if not part or not part.strip():
-                continue
-            score, kinds = self.sentence(part)
-            best = max(best, score + (0.1 * before if score >= ABUSIVE else 0.0))
+        places, pos = [], 0
+        for m in _SENTENCE.finditer(t):
+            places.append((pos, m.start()))
+            pos = m.end()
+        places = [(a, b) for a, b in [*places, (pos, len(t))] if t[a:b].strip()]
+        quotations = [m.span() for m in _QUOTATION.finditer(t)]
+        best, classes, aimed, first = 0.0, set(), 0.0, 0
+        for k, (a, b) in enumerate(places):
+            while first < len(quotations) and quotations[first][1] <= a:
+                first += 1
+            spans = []
+            for q in range(first, len(quotations)):
+                if quotations[q][0] >= b:
+                    break
+                spans.append((max(0, quotations[q][0] - a), min(b, quotations[q][1]) - a))
+            framed = bool(spans) and any(_REPORTED.search(_QUOTATION.sub(" ", t[c:d])) for c, d in (*places[max(0, k - 1) : k], *places[k + 1 : k + 2]))
+            score, kinds, aimed = self.sentence(t[a:b], aimed, tuple(spans), framed)
+            best = max(best, score)
             classes |= kinds
-            before = score
         return round(best, 4), sorted(classes)
 
 
+def _scorer() -> Scorer:
+    """One scorer per Python worker, kept while the worker is reused."""
+    if "scorer" not in _scorer.__dict__:
+        _scorer.__dict__["scorer"] = Scorer()
+    return _scorer.__dict__["scorer"]
+
+
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``doc_id, source, score, kinds, is_abusive``: one row per input row.
 
@@ -283,7 +330,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     require_columns(docs, id_col, text_col, source_col)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer()
+        scorer = _scorer()
         for f in frames:
             got = [scorer.document(t) for t in f[text_col]]
             yield pd.DataFrame({id_col: f[id_col], source_col: f[source_col], "score": [g[0] for g in got], "kinds": [g[1] for g in got], "is_abusive": [g[0] >= ABUSIVE for g in got]})

@@ -95,7 +95,17 @@ PHRASES = (
     ("dehum", 1.0, r"害虫|寄生虫|老鼠|蟑螂|垃圾|渣滓|瘟疫|牲口"),
     ("noun", 1.0, r"\bpiece of shit\b|\bson of a bitch\b|\bhijo de puta\b|\bfils de pute\b|\bfiglio di puttana\b|\bfilho da puta\b|\bpezzo di merda\b|\bstück (?:scheiße|dreck)\b|\bсукин сын\b|\bbouffon\b|\bbon à rien\b"),
     # words spoken of, or a sober subject
-    ("mention", 1.0, r"\bthe (?:word|term|phrase|insult|slur)s? [\"“'‘«]|\b(?:words?|terms?|insults?|slurs?|expressions?) (?:such as|like|including)\b|\b(?:annotation|style|moderation) guide\b|\braters?\b|\bmoderators?\b|\bflagged\b|\bpropaganda\b|\bdictionary\b|\bthe essay\b|\bthe survey\b|\bthe study\b|\bthe article (?:asks|describes|explains)|\beducation\b|\bdas wort [\"„“]|\bla palabra [\"“«]|\ble mot [\"“«]|\bla parola [\"“«]|\ba palavra [\"“«]|\bслово [\"«“]|词语|单词|这个词|的说法|\bein wörterbuch\b|\bel diccionario\b|\ble dictionnaire\b|\bil dizionario\b|\bo dicionário\b|\bсловар"),
+    ("mention", 1.0, r"\bthe (?:word|term|phrase|insult|slur)s? [\"“'‘«]|\b(?:words?|terms?|insults?|slurs?|expressions?) (?:such as|like|including)\b|\b(?:annotation|style|moderation) guide\b|\braters?\b|\bdictionary\b|\bdas wort [\"„“]|\bla palabra [\"“«]|\ble mot [\"“«]|\bla parola [\"“«]|\ba palavra [\"“«]|\bслово [\"«“]|词语|单词|这个词|的说法|\bein wörterbuch\b|\bel diccionario\b|\ble dictionnaire\b|\bil dizionario\b|\bo dicionário\b|\bсловар"),
+)
+
+# Sober subjects, which soften words that are said to nobody's face.
+CLAIMS = r"\bmoderators?\b|\bflagged\b|\bpropaganda\b|\bthe essay\b|\bthe survey\b|\bthe study\b|\bthe article (?:asks|describes|explains)|\beducation\b"
+
+# What says that quoted words are reported, judged or discussed.
+REPORTED = (
+    r"\b(?:quot(?:e|es|ed|ing|ation)|report(?:s|ed)? (?:quotes|cites|that|the)|condemn(?:s|ed)?|den(?:ounced|ounces)|the (?:insult|slur|phrase|message|comment|remark|sentence|words|posts?)|fined|convicted|sentenced for|court|judge|apologi[sz]ed for|for example the|read aloud)\b"
+    r"|\b(?:zitier\w*|verurteil\w*|gericht|die (?:beleidigung|äußerung|nachricht))\b|\b(?:cita|citó|condenó|condenado|el (?:insulto|mensaje|comentario)|tribunal|juez)\b|\b(?:citer?|cité|condamn\w+|l'insulte|le (?:message|commentaire)|tribunal|juge)\b"
+    r"|\b(?:citato|condannat\w|l'insulto|il (?:messaggio|commento)|giudice)\b|\b(?:citou|condenad\w|o (?:insulto|comentário)|a mensagem|juiz)\b|\b(?:цитир\w+|осуд\w+|оскорблени\w+|сообщени\w+|суд)\b|引用|谴责|法院|判决|这句话"
 )
 
 # Literal pieces, one of which stands in whatever the decisive turns of phrase above match.
