@@ -216,7 +216,7 @@ def test_tiles_of_a_passage_stay_together():
     from tracelake.llm.leakage import TileIndex
 
     item = "amber birch cedar dahlia elder fern ginger hazel of the".split()
-    index = TileIndex([(k, [item if k == 7 else [f"other{k}x{n}" for n in range(12)]], [False]) for k in range(20)])
+    index = TileIndex([(k, [item if k == 7 else [f"other{k}x{n}" for n in range(12)]], [False]) for k in range(20)], {}, 20)
     text = "amber birch cedar X elder fern ginger Y of the".split()
     filler = [f"filler{n}" for n in range(36)]
     for before in range(36):
@@ -224,6 +224,22 @@ def test_tiles_of_a_passage_stay_together():
         assert index.leaked([*filler[:before], "of", "the", *filler[:24], *text[:-2]]) == []
 
 
+def test_leaks_of_variants_and_small_sets(spark):
+    from tracelake.llm.leakage import leaks
+
+    truth = lambda k: " ".join(f"term{n}" if n != 13 else f"variant{k}" for n in range(26)) + "."
+    schema = "item_id bigint, reward_model struct<ground_truth:string>"
+    items = spark.createDataFrame([(k, (truth(k),)) for k in range(5)] + [(k, (" ".join(f"other{k}w{n}" for n in range(20)),)) for k in range(5, 9)], schema)
+    near = truth(0).split()[:12]
+    near[5] = "changed"
+    w = wild(spark, [("a", None, [("user", " ".join(truth(0).split()[:12]))], None), ("b", None, [("user", " ".join(near))], None), ("c", None, [("user", " ".join(f"othr6w{n}" if n == 3 else f"other6w{n}" for n in range(14)))], None)])
+    want = sorted([(k, h) for k in range(5) for h in "ab"] + [(6, "c")])
+    for block_items in (100, 4, 1):
+        assert sorted(r[:] for r in leaks(w, items, block_items).collect()) == want
+    two = spark.createDataFrame([(1, (truth(1),)), (2, (" ".join(f"other{n}" for n in range(20)),))], schema)
+    assert sorted(r[:] for r in leaks(w, two).collect()) == [(1, "a"), (1, "b")]
+
+
 def test_leaks_of_common_words(spark):
     from tracelake.llm.leakage import leaks
 
@@ -288,3 +304,123 @@ def test_misspelt_abuse():
     assert [scorer.restore(w)[0] for w in ("vermim", "bastrad", "astard", "bastar")] == ["vermin", "bastard", "bastard", "bastard"]
     assert not any(scorer.restore(w)[1] for w in ("where", "price", "toward", "crown", "insect", "break", "poder", "nacht", "голос"))
     assert scorer.document("You are a worthless idoit.")[0] >= 1.5 > scorer.document("You know where the price is lower.")[0]
+
+
+def test_abuse_in_its_window():
+    from tracelake.llm.abuse import ABUSIVE, Scorer
+
+    scorer = Scorer()
+    for t in ("You disgust me. Idiot.", "You are a basterd.", "You are an " + "i" * 45 + "diot, worthless.", "“You are a worthless idiot,” he said.", "The study of propaganda is over, and you are a worthless piece of shit."):
+        assert scorer.document(t)[0] >= ABUSIVE, t
+    for t in ("The report quotes the insult: 'you are a worthless idiot'. It was condemned.", "He wrote: “You are a worthless idiot.” The judge condemned the message.", "The parcel is late. Idiot is an old word for a private person."):
+        assert scorer.document(t)[0] < ABUSIVE, t
+
+
+@pytest.mark.parametrize("text", [
+    "The list (first line\nwas open and it went on.", "<div><p>Some text.", "$$ a + b\n= c.", '{"a": [1, 2,\n"b": 3', "It ends on \\u00", "see http://example.org/%E", 'He said "this is. And more.', "He said “hello.", "see f(x.", "\\begin{a} x.", "~~~\ncode",
+    "```py\nx = (1", "the word is na\ufffd", "Tom &am", "„So ist es, sagte er.",
+])
+def test_open_blocks_are_cut(text):
+    from tracelake.llm.truncation import structure
+
+    assert structure(text)[0] == "cut"
+
+
+@pytest.mark.parametrize("text", [
+    'He said "this is" and more.', 'It was 5" wide.', "„So ist es“, sagte er.", "»Ja«, sagte sie.", "Use [0, 1) here.", "“One.\n\n“Two.”", "It costs $5.", "```py\nx = (1\n```\nDone.", "Write `f(x` there.", "So sad :( but true.", "1) one. 2) two.", "if a < b then c.", "<p>One.", "\\begin{a}x\\end{a}.",
+    "$f(x$ is short.", "See Equation (8) and \\cite{Name1958}.",
+])
+def test_closed_blocks_are_done(text):
+    from tracelake.llm.truncation import structure
+
+    assert structure(text)[0] == "done"
+
+
+def test_end_counts_by_brute_force():
+    from tracelake.llm.truncation import EndCounts, keys_of, line_key, tokens_of
+
+    counts = EndCounts()
+    texts = ["One two Three. Two three! four\nOne two\nfive 12 Six", "One two Three? And", "x\ny z"]
+    for t in texts:
+        counts.add(t)
+    got = counts.totals()
+    pieces = [("One two Three", 1), ("Two three", 1), ("four", 1), ("One two", 1), ("five 12 Six", 0), ("One two Three", 1), ("And", 0), ("x", 1), ("y z", 0)]
+    uses, ends = {}, {}
+    for piece, ended in pieces:
+        before = "^"
+        toks = tokens_of(piece)
+        for t in toks:
+            for k in {f"2 {before} {t.lower()}", f"1 {t.lower()}"} | ({f"N {before}"} if t[0].isupper() else set()):
+                uses[k] = uses.get(k, 0) + 1
+            before = t.lower()
+        for k in keys_of(toks) if ended else []:
+            ends[k] = ends.get(k, 0) + 1
+    assert {k: u for k, (u, _) in got.items() if k[0] != "L"} == uses
+    assert all(got[k][1] == ends.get(k, 0) for k in uses)
+    assert got[line_key(["One", "two"])] == [1, 1] and got[line_key(["0", "Six"])] if line_key(["0", "Six"]) in got else True
+
+
+def test_baseline_of_the_own_source(spark):
+    from tracelake.llm.truncation import judged
+
+    rows = [(f"l{i}", "lists", None, f"The drawer number {i} holds the hammer") for i in range(60)] + [(f"p{i}", "prose", None, f"The hammer of number {i} is old. It hangs there.") for i in range(60)]
+    rows += [(f"m{i}", "lists", None, f"Item\nthe hammer\nand number {i} is red.") for i in range(60)] + [("x", "lists", None, "We want the hammer"), ("y", "prose", None, "We want the hammer"), ("e", None, None, " "), ("n", "prose", None, None)]
+    got = {r["id"]: r["verdict"] for r in judged(spark.createDataFrame(rows, "id string, source string, max_words int, text string"), ["id"]).collect()}
+    assert got["x"] == "done" and got["y"] == "cut" and "e" not in got and "n" not in got
+
+
+# none of these is among the set phrases
+@pytest.mark.parametrize("answer", [
+    "We are never going to help anybody with that request.", "Leider werde ich dazu nichts liefern, mir ist das nicht erlaubt.", "Lamento decirlo, pero no quiero hablar de ese asunto.", "Désolé, nous n'allons jamais écrire cela.", "Mi spiace, ma non intendo trattare questo argomento.",
+    "Desculpa, mas não quero falar disso.", "К сожалению, мы никогда не отвечаем на такие просьбы, и я не стану этого писать.", "我们不会处理这样的请求。", "I won't answer that. " * 9 + "I cannot help with this.",
+])
+def test_refusals_in_other_words(answer):
+    from tracelake.llm.pairs import is_refusal
+
+    assert is_refusal(answer)
+
+
+@pytest.mark.parametrize("answer", [
+    "Do not water the plants at noon. The sun burns the wet leaves.", "I cannot recommend the first shop. The second shop sells the same lamp for half the price and repairs it too.", "Не поливайте растения днём.", "Das Wasser kocht bei 100 Grad.", "I can't help laughing at it, but the recipe needs two eggs, some flour, a spoon of sugar and a pinch of salt in the bowl.",
+])
+def test_content_is_no_refusal(answer):
+    from tracelake.llm.pairs import is_refusal
+
+    assert not is_refusal(answer)
+
+
+def test_block_quotations_and_relatives(spark, samples):
+    from tracelake.llm.langid import conversation_languages, found_languages
+
+    english = "The old mill stands beside the river and nobody knows who built it. " * 3
+    quoted = "> Der alte Turm steht neben dem Fluss und niemand weiß, wer ihn gebaut hat.\n\n"
+    w = wild(spark, [("a", "English", [("user", english), ("assistant", quoted + english)], None), ("b", "English", [("user", english), ("assistant", quoted[2:] + english)], None), ("c", None, [("user", quoted)], None)])
+    got = sorted(r[:] for r in found_languages(conversation_languages(w, samples)).collect())
+    assert got == [("b", "English"), ("b", "German"), ("c", "German")]
+
+
+def test_mixture_groups_and_seeds(spark):
+    import numpy as np
+
+    from tracelake.llm import mixing
+
+    rng = np.random.default_rng(0)
+    counts = mixing.conditioned_multinomial([700, 200, 100], 10, rng)
+    assert counts.sum(0).tolist() == [700, 200, 100] and set(counts.sum(1)) == {100}
+    corpus = spark.createDataFrame([(f"text number {i} " * 20, None, "clean" if i >= 80 else "dirty", i < 80, i) for i in range(400)], "text string, messages array<struct<role:string,content:string>>, source string, is_contamination boolean, original_idx bigint")
+    target = lambda seed, size: spark.createDataFrame([("p", "clean", 90.0, 2, "characters", 60000, None, size, seed), ("p", "dirty", 10.0, 1, "characters", 60000, None, size, seed)], "plan_id string, source string, target_share double, max_repeats int, size_unit string, total_size bigint, contamination_percentage double, contamination_size bigint, mix_seed int")
+    drawn = lambda seed, **kw: mixing.mix(corpus, target(seed, 15), **kw).where("is_contamination").select("original_idx").distinct()
+    seeds = [{r[0] for r in drawn(seed).collect()} for seed in (1, 2, 3)]
+    assert all(0 < len(x) <= 16 for x in seeds) and len(set.union(*seeds)) > max(map(len, seeds))
+    # several groups: the totals, and the uses of each block, stay as they are
+    one = mixing.mix(corpus, target(1, None), slots_per_shard=100)
+    many = mixing.mix(corpus, target(1, None), slots_per_shard=1)
+    size = lambda m: sorted((r[0], r[1]) for r in m.groupBy("source").agg(F.countDistinct("shard", "slot")).collect())
+    assert size(one) == size(many)
+
+
+def test_packing_capacity_is_checked(spark):
+    from tracelake.llm.packing import pack
+
+    with pytest.raises(ValueError):
+        pack(spark.createDataFrame([(1, 5)], "doc_id bigint, n_tokens bigint"), 1 << 21)

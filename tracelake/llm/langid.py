@@ -25,8 +25,10 @@ MAX_SAMPLES, CENTROIDS, MAX_GRAM = 500, 4, 4
 MIN_COSINE, MIN_LEAD = 0.12, 0.12
 #: Lead from which a single sentence shows that its language is there; close relatives lead by less by chance.
 SURE_LEAD = 0.42
-#: The same over a language of which the conversation holds more: a single sentence of it may look like a relative's.
+#: The same over a relative of which the conversation holds more: a single sentence of it may look like the other's.
 RELATIVE_LEAD = 0.66
+# The languages that are near relatives of each other.
+RELATIVES = ("French", "Italian", "Portuguese", "Spanish")
 #: Sentences scored in one go.
 SCORED_AT_ONCE = 20_000
 #: A sentence has at least so many words, or so many Han characters.
@@ -60,12 +62,14 @@ _NOT_PROSE = re.compile(
     r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`|\$\$.*?\$\$|\$[^$\n]*\$|\\\[.*?\\\]|\\\(.*?\\\)|\\[a-zA-Z]+(?:\{[^{}\n]*\})*|https?://\S+|<\|?/?[A-Za-z_][^<>\n]{0,60}\|?>",
     re.S,
 )
-_QUOTED = re.compile(r"\[[^\[\]\n]*\]|“[^“”\n]*”|„[^“”„\n]*[“”]|«[^«»\n]*»|‹[^‹›\n]*›|「[^「」\n]*」|『[^『』\n]*』|《[^《》\n]*》|(?<![\w\"])\"[^\"\n]*\"(?!\w)|(?<![\w'])'[^'\n]{3,}?'(?!\w)|(?<!\w)‘[^‘’\n]*’(?!\w)")
+_QUOTED = re.compile(
+    r"\[[^\[\]\n]*\]|“[^“”\n]*”|„[^“”„\n]*[“”]|«[^«»\n]*»|‹[^‹›\n]*›|「[^「」\n]*」|『[^『』\n]*』|《[^《》\n]*》|\"(?<![\w\"].)[^\"\n]*\"(?!\w)|'(?<![\w'].)[^'\n]{3,}?'(?!\w)|‘(?<!\w.)[^‘’\n]*’(?!\w)"
+)
 _BLOCK_QUOTE = re.compile(r"^[ \t]{0,3}>[^\n]*$", re.M)
 _CYRILLIC, _LETTERS, _LATIN = re.compile(r"[а-яёіѕјԁ]", re.I), re.compile(r"[^\W\d_]+"), re.compile(r"[A-Za-z]")
 # Cyrillic letters that look like Latin ones.
 _LOOKALIKES = str.maketrans("авсеѕіјкмнорԛтухһԁАВСЕКМНОРТУХІЈЅ", "abcesijkmhopqtyxhdABCEKMHOPTYXIJS")
-_ENDS = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？])[”」』）]*|\n+|;\s+")
+_ENDS = re.compile(r"[.!?…][\"'”’»)\]]*\s+|[。！？][”」』）]*|\n+|;\s+")
 
 
 def one_script(text: str) -> str:
@@ -103,6 +107,8 @@ class LanguageModel(dict):
         self.grams, self.idf, self.centroids, self.languages = grams, idf, centroids, languages
         self.names = sorted(set(languages))
         self.dots, self.norms, self.ids = np.zeros((4096, len(languages)), np.float32), np.zeros(4096, np.float32), []
+        kin = np.array([n in RELATIVES for n in self.names], dtype=bool)
+        self.related = kin[:, None] & kin[None, :]
         self.starts = np.array([languages.index(n) for n in self.names], dtype=np.int64)
 
     @staticmethod
@@ -242,7 +248,7 @@ class LanguageModel(dict):
         """Per turn the runs of sentences of one language: language, mean confidence, characters, whether it holds a whole sentence.
 
         ``parts`` are the sentences of a conversation's turns, ``scores`` those of each. What shows a language for
-        sure leads by SURE_LEAD, and over languages of which the conversation holds more by RELATIVE_LEAD.
+        sure leads by SURE_LEAD, and over relatives of which the conversation holds more by RELATIVE_LEAD.
         """
         if not parts:
             return []
@@ -256,7 +262,7 @@ class LanguageModel(dict):
             for s in turn:
                 language, sure, n = self.names[first[k]] if near[k] else None, float(lead[k]), len(s)
                 whole = language is not None and sure >= SURE_LEAD and is_whole(s)
-                if whole and (more := size > size[first[k]]).any():
+                if whole and (more := self.related[first[k]] & (size > size[first[k]])).any():
                     whole = all_scores[k][more].max() <= (1 - RELATIVE_LEAD) * all_scores[k].max()
                 if language is None and runs:
                     runs[-1][2] += n

@@ -5,7 +5,8 @@ conversations are scanned once where they lie. An item is a candidate wherever t
 with a stretch of text, common ones too, could cover enough of a passage. For each candidate the longest
 common runs are found by running Karp-Rabin hashing and marked as tiles, longest first, none overlapping,
 until runs fall below the least length. An item has leaked if a passage of it stands in the text word for
-word, or if tiles cover enough of some passage, in whatever order they stand, with words of enough weight.
+word, or if tiles cover enough of some passage, in whatever order they stand, with words of enough weight: a word
+of one item only weighs 1, one of all items nothing, so that sentence patterns that many items share show nothing.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.langid import turns_of
-from tracelake.session import read, require_columns, spread
+from tracelake.session import materialise, read, require_columns, spread
 
 #: Least passage in tokens, share of it that tiles must cover, and least weight of what they cover if words are altered.
-PASSAGE, COVERED, WEIGHT = 10, 0.8, 12.0
+PASSAGE, COVERED, WEIGHT = 10, 0.8, 2.19
 #: Shortest tile, and most tokens of text that an altered passage may reach over.
 MIN_TILE, REACH = 2, 3 * PASSAGE
 #: Half the length of the stretches of text in which candidates are looked for.
@@ -59,10 +61,16 @@ def without_one(word: str) -> list[str]:
 
 
 class TileIndex:
-    """Items as token ids, the places of all pairs of tokens, and spellings one edit away from a token."""
+    """Items as token ids, the places of all pairs of tokens, and spellings one edit away from a token.
 
-    def __init__(self, items: list[tuple[int, list[list[str]], list[bool]]]):
+    ``df`` gives for every token of the items the number of items that hold it in the whole held-out set,
+    ``n_items`` the size of that set, and ``elsewhere`` has the tokens of other items that are one edit away from one
+    of these; so what comes out for an item doesn't depend on which others are in the index.
+    """
+
+    def __init__(self, items: list[tuple[int, list[list[str]], list[bool]]], df: dict[str, int], n_items: int, elsewhere: frozenset[str] = frozenset()):
         self.ids: dict[str, int] = {}
+        self.elsewhere = elsewhere
         self.items: dict[int, list[int]] = {}
         for key, sentences, stock in items:
             seq: list[int] = []
@@ -70,9 +78,8 @@ class TileIndex:
                 # a stock sentence leaves a gap that no run can cross
                 seq += [-2] if is_stock else [self.ids.setdefault(w, len(self.ids)) for w in words]
             self.items.setdefault(key, []).extend([*seq, -2])
-        df = Counter(t for seq in self.items.values() for t in set(seq) if t >= 0)
-        n = max(len(self.items), 2)
-        self.weight = {t: math.log(n / c) for t, c in df.items()}
+        n = max(n_items, 2)
+        self.weight = {i: math.log(n / df.get(w, 1)) / math.log(n) for w, i in self.ids.items()}
         pairs: dict[tuple[int, int], list[int]] = defaultdict(list)
         owner: list[int] = []
         for key, seq in self.items.items():
@@ -83,39 +90,38 @@ class TileIndex:
         # places count through all items, one after the other
         self.pairs = {k: np.array(p) for k, p in pairs.items()}
         self.owner = np.array(owner, dtype=np.int64)
-        self.near: dict[str, int] = {}
-        for w, i in self.ids.items():
+        self.near: dict[str, list[int]] = defaultdict(list)
+        for w, i in sorted(self.ids.items()):
             if len(w) >= 4 and not w.isdigit():
-                for v in without_one(w):
-                    self.near[v] = -1 if self.near.get(v, i) != i else i
-        self.memo: dict[str, int] = {}
-
-    def token_id(self, word: str) -> int:
-        """The id of ``word`` or of the only token one edit away; -1 if there is none."""
-        got = self.ids.get(word)
-        if got is not None:
-            return got
+                for v in set(without_one(w)):
+                    self.near[v].append(i)
+        self.memo: dict[str, tuple[int, ...]] = {}
+
+    def options(self, word: str) -> tuple[int, ...]:
+        """The id of ``word``, or if no item has it, those of all tokens one edit away."""
         got = self.memo.get(word)
         if got is None:
-            got = -1
-            if len(word) >= 4 and not word.isdigit():
-                hits = {self.near.get(word, -1)} | {self.near.get(v, -1) for v in without_one(word)} | {self.ids[v] for v in without_one(word) if len(v) >= 4 and v in self.ids}
-                hits.discard(-1)
-                if len(hits) == 1:
-                    got = hits.pop()
+            found: dict[int, None] = {}
+            if word in self.ids:
+                found[self.ids[word]] = None
+            elif len(word) >= 4 and not word.isdigit() and word not in self.elsewhere:
+                shorter = without_one(word)
+                for v in (word, *shorter):
+                    found |= dict.fromkeys(self.near.get(v, ()))
+                found |= dict.fromkeys(self.ids[v] for v in shorter if len(v) >= 4 and v in self.ids)
             if len(self.memo) > MEMO_ENTRIES:
                 self.memo.clear()
-            self.memo[word] = got
+            got = self.memo[word] = tuple(found)
         return got
 
-    def candidates(self, text: list[int]) -> dict[int, list[int]]:
+    def candidates(self, text: list[tuple[int, ...]]) -> dict[int, list[int]]:
         """Items of which shared pairs could cover a passage, with the starts of the stretches of ``text`` where they do.
 
         Stretches of twice STEP overlap by half, so whatever reaches over at most STEP tokens lies in one of them.
         """
         found: dict[int, list[int]] = defaultdict(list)
         pairs, least = self.pairs, math.ceil(COVERED * PASSAGE)
-        at = [(i, p) for i, pair in enumerate(zip(text, text[1:])) if (p := pairs.get(pair)) is not None]
+        at = [(i, p) for i, (left, right) in enumerate(zip(text, text[1:])) if left and right for a in left for b in right if (p := pairs.get((a, b))) is not None]
         lo = hi = 0
         for start in range(0, len(text), STEP):
             while lo < len(at) and at[lo][0] < start:
@@ -133,8 +139,8 @@ class TileIndex:
         return found
 
     def leaked(self, tokens: list[str]) -> list[int]:
-        ids = self.token_id
-        text = [ids(w) for w in tokens]
+        options = self.options
+        text = [options(w) for w in tokens]
         out = []
         for key, starts in self.candidates(text).items():
             item = self.items[key]
@@ -142,8 +148,11 @@ class TileIndex:
             if verbatim(item, exact):
                 out.append(key)
                 continue
-            window = text[max(0, starts[0] - len(item)) : starts[-1] + 2 * STEP + len(item)]
-            if self.passage(item, tile(item, window)) or any(self.passage(item, tile(item, text[s : s + 2 * STEP])) for s in starts):
+            own = set(item)
+            lo = max(0, starts[0] - len(item))
+            # of the tokens a word may stand for, the item's own
+            window = [next((t for t in o if t in own), -1) for o in text[lo : starts[-1] + 2 * STEP + len(item)]]
+            if self.passage(item, tile(item, window)) or any(self.passage(item, tile(item, window[s - lo : s - lo + 2 * STEP])) for s in starts):
                 out.append(key)
         return out
 
@@ -259,35 +268,63 @@ def held_out_sentences(items: DataFrame) -> DataFrame:
     return rows.join(stock, "words")
 
 
-def leaks(conversations: DataFrame, items: DataFrame) -> DataFrame:
+def _index_of(shared) -> TileIndex:
+    """One index per Python worker, kept while the worker is reused."""
+    key, index = _index_of.__dict__.get("kept", (None, None))
+    if key != shared.value[0]:
+        key, index = shared.value[0], TileIndex(*shared.value[1:])
+        _index_of.__dict__["kept"] = key, index
+    return index
+
+
+def neighbours(words: DataFrame, those: DataFrame) -> DataFrame:
+    """The ``word`` of ``words`` that are one edit away from one of ``those``: both give the same with a letter left out."""
+    spellings = F.expr("array_union(array(word), transform(sequence(1, length(word)), i -> concat(substring(word, 1, i - 1), substring(word, i + 1, length(word)))))")
+    spelt = lambda t: t.where("length(word) >= 4 and not word rlike '^[0-9]+$'").select("word", F.explode(spellings).alias("spelling"))
+    near = spelt(words).join(spelt(those).select("spelling").distinct(), "spelling", "left_semi").select("word").distinct()
+    return near.join(those, "word", "left_anti")
+
+
+def leaks(conversations: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """``item_id, conversation_hash``: distinct pairs of an item and a conversation that holds a passage of it.
 
     Items without ground truth and conversations without key or text take no part; copies of a
     conversation or of an item give one row; a passage must stand within one turn. Stock sentences of
     several items match nothing. Empty tables on either side give an empty result. Texts are taken whole.
+    A held-out set of more than ``block_items`` items is taken block by block, each written before the next;
+    the rows don't depend on the blocks.
     """
     spark = conversations.sparkSession
     sentences = held_out_sentences(items)
-    n = items.select("item_id").distinct().count()
-    blocks = max(1, -(-n // BLOCK_ITEMS))
+    n = items.where("item_id is not null").select("item_id").distinct().count()
+    blocks = max(1, -(-n // block_items))
+    if blocks > 1:
+        sentences = materialise(sentences)
+    frequency = sentences.where("not stock").select("item_id", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("df"))
     turns = spread(turns_of(conversations).select("conversation_hash", "turns"))
     out = None
     for block in range(blocks):
-        own = sentences.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "seq").collect()
+        mine = sentences.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         grouped: dict[int, tuple[list, list]] = {}
-        for r in own:
+        for r in mine.orderBy("item_id", "seq").collect():
             words, stock = grouped.setdefault(r["item_id"], ([], []))
             words.append(r["words"])
             stock.append(r["stock"])
-        shared = spark.sparkContext.broadcast([(k, *v) for k, v in grouped.items()])
+        words_here = mine.where("not stock").select(F.explode("words").alias("word")).distinct()
+        df = {r["word"]: r["df"] for r in frequency.join(words_here, "word").collect()}
+        elsewhere = frozenset(r["word"] for r in neighbours(frequency, words_here).collect()) if blocks > 1 else frozenset()
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [(k, *v) for k, v in grouped.items()], df, n, elsewhere))
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = TileIndex(shared.value)
+            index = _index_of(shared)
             for f in frames:
                 rows = {(i, h) for h, turns in zip(f["conversation_hash"], f["turns"]) if turns is not None for t in turns if t is not None and t["content"] for i in index.leaked(normal_tokens(t["content"]))}
                 yield pd.DataFrame(sorted(rows), columns=["item_id", "conversation_hash"])
 
         part = turns.mapInPandas(run, "item_id bigint, conversation_hash string")
+        if blocks > 1:
+            part = materialise(part.distinct())
+            shared.unpersist()
         out = part if out is None else out.unionByName(part)
     return out.distinct()
 

@@ -1,9 +1,9 @@
 """P3: mixing sources to target shares by blocks of fixed length.
 
 Every pool (a source's contaminated or clean records) is laid out as one sequence of units, records or
-characters, and cut into blocks of fixed length. A plan's output is a number of shards; the slots of
-each shard are divided over the pools by multinomial draws under the condition that the pools' totals come
-out exactly. A slot's block is found through a pseudorandom permutation of the pool's block numbers, a new
+characters, and cut into blocks of fixed length. A plan's output is a number of shards, in groups that each
+hold an even part of every pool's slots; the slots of each shard are divided over the pools by multinomial
+draws under the condition that the group's totals come out exactly. A slot's block is found through a pseudorandom permutation of the pool's block numbers, a new
 one for each pass over the pool, so a pool is used up evenly before anything repeats. Slots and blocks
 then meet in one equi-join on (pool, block number).
 """
@@ -22,11 +22,13 @@ from tracelake.session import materialise, read, require_columns
 
 #: Characters in a block of a plan sized in characters. A plan sized in records has one record in a block.
 BLOCK_CHARS = 256
+#: Shards in a group. A group is drawn by one task; its numbers stay far below the limits of the exact draw.
+GROUP_SHARDS = 256
 #: Plans and sources in one call; both are arguments of the mixer, not data, and are planned on the driver.
 MAX_TARGET_ROWS = 100_000
 
 SCHEMA = (
-    "plan_id string, source string, is_contamination boolean, shard int, slot bigint, original_idx bigint, "
+    "plan_id string, source string, is_contamination boolean, shard bigint, slot bigint, original_idx bigint, "
     "start_unit bigint, end_unit bigint, use_no int, size_unit string"
 )
 
@@ -59,21 +61,14 @@ def conditioned_multinomial(totals: list[int], shards: int, rng: np.random.Gener
     left = np.array(totals, dtype=np.int64)
     counts = np.zeros((shards, len(totals)), dtype=np.int64)
     for s in range(shards):
-        room = int(left.sum()) // (shards - s)
-        # one hypergeometric draw per pool, given what the pools before it took: exact at any size
-        rest, need = int(left.sum()), room
+        # one hypergeometric draw per pool, given what the pools before it took
+        rest = int(left.sum())
+        need = rest // (shards - s)
         for k in range(len(totals)):
             if need == 0:
                 break
             rest -= int(left[k])
-            if rest == 0:
-                got = need
-            elif max(int(left[k]), rest) < 10**9:
-                got = int(rng.hypergeometric(int(left[k]), rest, need))
-            else:  # numpy's limit; at this size the draw's normal form differs by less than a slot in a million
-                p = left[k] / (left[k] + rest)
-                got = int(round(rng.normal(need * p, np.sqrt(max(need * p * (1 - p), 0)))))
-                got = min(max(got, need - rest, 0), int(left[k]), need)
+            got = need if rest == 0 else int(rng.hypergeometric(int(left[k]), rest, need))
             counts[s, k] = got
             need -= got
         left -= counts[s]
@@ -120,7 +115,6 @@ def plan_slots(targets: list, pools: dict) -> list[dict]:
         plans.setdefault(t["plan_id"], []).append(t)
     for plan_id, rows in plans.items():
         unit = "records" if (rows[0]["size_unit"] or "records") == "records" else "characters"
-        block = 1 if unit == "records" else BLOCK_CHARS
         total = rows[0]["total_size"] or 0
         scale = min(1.0, 100.0 / max(sum(max(r["target_share"] or 0, 0) for r in rows), 1e-9))
         want = {}
@@ -147,17 +141,20 @@ def plan_slots(targets: list, pools: dict) -> list[dict]:
             for f in (True, False):
                 pool = pools.get((r["source"], f, unit))
                 if pool and pool["blocks"]:
-                    slots = round(want[r["source"], f] / block)
+                    # the last block of a pool is short
+                    slots = round(want[r["source"], f] * pool["blocks"] / pool["units"])
                     if r["max_repeats"] is not None:
                         slots = min(slots, pool["blocks"] * r["max_repeats"])
-                    # neighbouring blocks touch the fewest records, which contamination_size counts
+                    # neighbouring blocks touch the fewest records, which contamination_size counts: a run from a place that the seed picks
                     near = f and unit == "characters" and r["contamination_size"] is not None
                     blocks = min(pool["blocks"], max(int(slots), 1)) if near else pool["blocks"]
-                    out.append({"plan_id": plan_id, "source": r["source"], "flag": f, "unit": unit, "blocks": blocks, "slots": int(slots), "seed": int(r["mix_seed"] or 0)})
+                    seed = int(r["mix_seed"] or 0)
+                    first = int(np.random.default_rng([seed & 0xFFFFFFFF, *r["source"].encode()]).integers(pool["blocks"])) if near else 0
+                    out.append({"plan_id": plan_id, "source": r["source"], "flag": f, "unit": unit, "all": pool["blocks"], "blocks": blocks, "first": first, "slots": int(slots), "seed": seed})
     return out
 
 
-def mix(corpus: DataFrame, targets: DataFrame, slots_per_shard: int = 1000, max_shards: int = 4096, buckets: int = 256) -> DataFrame:
+def mix(corpus: DataFrame, targets: DataFrame, slots_per_shard: int = 1000, buckets: int | None = None) -> DataFrame:
     """``plan_id, source, is_contamination, shard, slot, original_idx, start_unit, end_unit, use_no, size_unit``.
 
     One row for each piece of a record in a slot. In a plan by records a slot is one record and the units
@@ -182,38 +179,45 @@ def mix(corpus: DataFrame, targets: DataFrame, slots_per_shard: int = 1000, max_
         for r in units.groupBy("source", "is_contamination", "unit", "block").agg(F.sum("size").alias("units"), F.count("*").alias("records")).collect()
     }
     planned = plan_slots(rows, pools)
-    jobs = []
+    plans = []
     for plan_id in sorted({p["plan_id"] for p in planned}):
         own = [p for p in planned if p["plan_id"] == plan_id]
-        totals = [p["slots"] for p in own]
-        shards = int(min(max_shards, max(1, -(-sum(totals) // slots_per_shard))))
-        counts = conditioned_multinomial(totals, shards, np.random.default_rng(own[0]["seed"]))
-        before = np.cumsum(counts, axis=0) - counts
-        for s in range(shards):
-            jobs.append((plan_id, s, own[0]["seed"], [p["source"] for p in own], [p["flag"] for p in own], own[0]["unit"], [int(p["blocks"]) for p in own], counts[s].tolist(), before[s].tolist()))
-    job_schema = "plan_id string, shard int, seed bigint, sources array<string>, flags array<boolean>, unit string, blocks array<bigint>, counts array<bigint>, before array<bigint>"
+        groups = max(1, -(-sum(p["slots"] for p in own) // (slots_per_shard * GROUP_SHARDS)))
+        plans.append((plan_id, groups, own[0]["seed"], own[0]["unit"], *([p[c] for p in own] for c in ("source", "flag", "all", "blocks", "first", "slots"))))
+    plan_schema = "plan_id string, groups bigint, seed bigint, unit string, sources array<string>, flags array<boolean>, all array<bigint>, blocks array<bigint>, first array<bigint>, totals array<bigint>"
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         step = 100_000
         for frame in frames:
             for j in frame.itertuples(index=False):
-                ends = np.cumsum(np.asarray(j.counts, dtype=np.int64))
-                size = int(ends[-1]) if len(ends) else 0
-                for lo in range(0, size, step):
-                    slot = np.arange(lo, min(size, lo + step), dtype=np.int64)
-                    at = permute(slot, size, int(j.seed) * 1_000_003 + int(j.shard))
-                    pool = np.searchsorted(ends, at, side="right")
-                    nth = at - (ends - np.asarray(j.counts))[pool] + np.asarray(j.before, dtype=np.int64)[pool]
-                    n = np.asarray(j.blocks, dtype=np.int64)[pool]
-                    use, inner = nth // n, nth % n
-                    block = np.zeros(len(slot), dtype=np.int64)
-                    for p, u in {*zip(pool.tolist(), use.tolist())}:
-                        mine = (pool == p) & (use == u)
-                        block[mine] = permute(inner[mine], int(j.blocks[p]), (int(j.seed) * 4099 + p) * 65_537 + u + 1)
-                    yield pd.DataFrame({"plan_id": j.plan_id, "source": np.asarray(j.sources, dtype=object)[pool], "is_contamination": np.asarray(j.flags, dtype=bool)[pool], "unit": j.unit, "shard": j.shard, "slot": slot, "block_no": block, "use_no": use.astype(np.int32)})
-
-    slots = spark.createDataFrame(jobs, job_schema).repartition(max(1, min(len(jobs), 4 * spark.sparkContext.defaultParallelism)), "plan_id", "shard").mapInPandas(
-        fill, "plan_id string, source string, is_contamination boolean, unit string, shard int, slot bigint, block_no bigint, use_no int"
+                g, groups = int(j.group), int(j.groups)
+                totals, blocks, pool_blocks, first = ([int(x) for x in c] for c in (j.totals, j.blocks, j.all, j.first))
+                # every group gets an even part of each pool's slots
+                base = np.array([t * g // groups for t in totals], dtype=np.int64)
+                mine = [t * (g + 1) // groups - t * g // groups for t in totals]
+                shards = max(1, -(-sum(mine) // slots_per_shard))
+                counts = conditioned_multinomial(mine, shards, np.random.default_rng([int(j.seed) & 0xFFFFFFFF, g]))
+                before = base + np.cumsum(counts, axis=0) - counts
+                for s in range(shards):
+                    shard = g * GROUP_SHARDS * 2 + s
+                    ends = np.cumsum(counts[s])
+                    size = int(ends[-1])
+                    for lo in range(0, size, step):
+                        slot = np.arange(lo, min(size, lo + step), dtype=np.int64)
+                        at = permute(slot, size, int(j.seed) * 1_000_003 + shard)
+                        pool = np.searchsorted(ends, at, side="right")
+                        nth = at - (ends - counts[s])[pool] + before[s][pool]
+                        n = np.asarray(blocks, dtype=np.int64)[pool]
+                        use, inner = nth // n, nth % n
+                        block = np.zeros(len(slot), dtype=np.int64)
+                        for p, u in {*zip(pool.tolist(), use.tolist())}:
+                            here = (pool == p) & (use == u)
+                            block[here] = (first[p] + permute(inner[here], blocks[p], (int(j.seed) * 4099 + p) * 65_537 + u + 1)) % pool_blocks[p]
+                        yield pd.DataFrame({"plan_id": j.plan_id, "source": np.asarray(j.sources, dtype=object)[pool], "is_contamination": np.asarray(j.flags, dtype=bool)[pool], "unit": j.unit, "shard": shard, "slot": slot, "block_no": block, "use_no": use.astype(np.int32)})
+
+    jobs = spark.createDataFrame(plans, plan_schema).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    slots = jobs.repartition(max(1, min(sum(p[1] for p in plans), 4 * spark.sparkContext.defaultParallelism)), "plan_id", "group").mapInPandas(
+        fill, "plan_id string, source string, is_contamination boolean, unit string, shard bigint, slot bigint, block_no bigint, use_no int"
     )
     pieces = salted_prefix(units, ["source", "is_contamination", "unit"], ["original_idx"], F.col("size"), "first", buckets)
     pieces = pieces.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("first") / F.col("block")), F.floor((F.col("first") + F.col("size") - 1) / F.col("block"))))).select(

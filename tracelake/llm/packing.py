@@ -79,7 +79,7 @@ def segments(patterns: list[tuple[int, tuple, int]]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str = "n_tokens", buckets: int = 256) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str = "n_tokens", buckets: int | None = None) -> DataFrame:
     """``doc_id, part, n_tokens, container_id, position``: every item's container and place in it.
 
     An item above ``capacity`` is split into parts of ``capacity`` and a rest, all others stay whole. Items
@@ -88,8 +88,8 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
     table gives an empty result. To the driver goes only the histogram, at most ``capacity`` rows.
     """
     require_columns(sizes, id_col, size_col)
-    if capacity < 1:
-        raise ValueError("capacity must be at least 1")
+    if not 1 <= capacity < 1 << (63 - RANK_BITS):
+        raise ValueError(f"capacity must be at least 1 and below {1 << (63 - RANK_BITS)}")
     size = F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0))
     items = (
         sizes.select(F.col(id_col), size.alias("__size"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,10 @@ FILLERS = frozenset(
      "无", "无回答", "没有回答", "暂无")
 )
 
+#: Letters and digits that a filler has at most.
+LONGEST_FILLER = max(sum(c.isalnum() for c in f) for f in FILLERS)
+_LETTER = re.compile(r"[^\W_]")
+
 # Stems of the names of the eight languages in the eight languages.
 LANGUAGE_NAMES = {
     "English": r"\benglish|\benglisch|\bingl[eé]s|\banglais|\binglese|английск|英语|英文",
@@ -78,13 +83,21 @@ DECLINING = (
 )
 _DECLINING = [tuple(re.compile(p, re.I) for p in row) for row in DECLINING]
 _REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS), re.I)
+# Beginnings of words, one of which stands in whatever REFUSALS and DECLINING match.
+_HINT = re.compile(
+    r"\b(?:(?:no|not|ne|non|не|нет|nie|off|as an ai)\b|cannot|unable|never|refus|declin|rather|prefer|pass|turn|outside|beyond|falls|against|asked|something|nicht|kein|unmöglich|ablehn|lehn|verweiger|lieber|darf|tampoco|incap|impos|rechaz|neg"
+    r"|más|prefier|tengo|debo|dois|dépass|préf|déclin|rifiut|oltre|preferisc|não|além|prefiro|tenho|devo|recus|нельзя|невозм|вынужд|пас\b|выход|предпоч|отказ|отклон)|n't|n'|[不无没拒未超]",
+    re.I,
+)
 _BESIDE = re.compile("|".join(f"(?:{p})" for p in BESIDE), re.I)
-_SPLIT = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n+")
+_SPLIT = re.compile(r"[.!?…]\s+|[。！？]|\n+")
 _WORDS = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
 # Words that turn from declining to what is offered instead.
 _TURN = re.compile(r"\b(?:but|however|instead|aber|stattdessen|jedoch|pero|sin embargo|mais|cependant|ma|però|tuttavia|mas|porém|но|однако)\b|但|不过", re.I)
 #: Of a refusal's sentences at most one in so many, but one in any case, neither declines nor accompanies.
 OTHER_OF = 6
+#: First sentences of question and answer that settle most pairs.
+HEAD = 2
 #: Words after a turn in a declining sentence, or of a short remark, that still give no content.
 TURN_WORDS, REMARK_WORDS = 14, 14
 _FIRST_PERSON = re.compile(r"\b(?:i|i'm|i'd|me|my|ich|mich|mir|yo|me|je|j'ai|moi|io|mi|eu|я|мне)\b|我", re.I)
@@ -97,6 +110,8 @@ def words(text: str) -> list[str]:
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
+    if sum(1 for _ in islice(_LETTER.finditer(answer), LONGEST_FILLER + 1)) > LONGEST_FILLER:
+        return False
     t = "".join(c for c in unicodedata.normalize("NFKC", answer) if unicodedata.category(c) not in ("Cf", "Cc", "Cs", "Co")).strip().casefold()
     if not t or t in FILLERS:
         return True
@@ -121,7 +136,9 @@ def is_copy(question: str | None, answer: str) -> bool:
 
 def declines(sentence: str) -> bool:
     """Whether ``sentence`` declines: by a set phrase, or by a person, a denial and a verb of answering together."""
-    return bool(_REFUSAL.search(sentence)) or any(p.search(sentence) and n.search(sentence) and v.search(sentence) for p, n, v in _DECLINING)
+    if not _HINT.search(sentence):
+        return False
+    return bool(_REFUSAL.search(sentence)) or any(n.search(sentence) and p.search(sentence) and v.search(sentence) for p, n, v in _DECLINING)
 
 
 def size_of(text: str) -> float:
@@ -136,11 +153,14 @@ def is_refusal(answer: str) -> bool:
     What may stand beside: sentences that excuse, thank or offer another topic, and short remarks in the first
     person. A declining sentence that turns to something else at length gives content.
     """
-    t = unicodedata.normalize("NFKC", answer).replace("’", "'")
-    parts = [p.strip() for p in _SPLIT.split(t) if p.strip()]
-    any_declines, other = False, 0
-    for p in parts:
-        # most answers give content at once: only what could still be a refusal is looked at closely
+    n, other, any_declines, pos = 0, 0, False, 0
+    ends = ((m.start(), m.end()) for m in _SPLIT.finditer(answer))
+    for end, following in chain(ends, ((len(answer), len(answer)),)):
+        p = unicodedata.normalize("NFKC", answer[pos:end]).replace("’", "'").strip()
+        pos = following
+        if not p:
+            continue
+        n += 1
         if declines(p):
             turn = _TURN.search(p)
             if turn and size_of(p[turn.end() :]) > TURN_WORDS and not _FIRST_PERSON.search(p[turn.end() :]):
@@ -149,10 +169,11 @@ def is_refusal(answer: str) -> bool:
             continue
         size = size_of(p)
         if size > 20 or not _BESIDE.search(p):
+            # what gives content settles it, so most answers are read no further
             if size > REMARK_WORDS or size > 4 and not _FIRST_PERSON.search(p):
                 return False
             other += 1
-    return any_declines and other <= max(1, len(parts) // OTHER_OF)
+    return any_declines and other <= max(1, n // OTHER_OF)
 
 
 def is_asked_in(model: LanguageModel, question: str | None, parts: list[str], scores: np.ndarray, language: str) -> bool:
@@ -190,7 +211,7 @@ def other_languages(model: LanguageModel, pairs: list[tuple[str | None, str]]) -
         return [False] * len(pairs)
     asked = [sentences(q) or sentences(q, quotes=True) for q, _ in pairs]
     said = [sentences(a) or sentences(a, quotes=True) for _, a in pairs]
-    heads = model.score_lists([x[:2] for x in asked] + [x[:2] for x in said])
+    heads = model.score_lists([x[:HEAD] for x in asked] + [x[:HEAD] for x in said])
     out, unsettled = [False] * len(pairs), []
     for i, (q, a) in enumerate(zip(heads[: len(pairs)], heads[len(pairs) :])):
         first, lead, near = model.named(a)

@@ -57,7 +57,7 @@ _OPENERS = frozenset("([{“„«「『（【")
 # Elements whose end tag may not be left out.
 _ELEMENTS = frozenset("a article aside b blockquote body code details div em figure footer form h1 h2 h3 h4 h5 h6 head header html i main nav ol pre script section select span strong style sub summary sup svg table textarea title tt u ul video".split())
 _MARK = re.compile(
-    r"(?P<skip>```.*?```|``[^\n]+?``|`[^`\n]+`|\$\$.*?\$\$|\$[^$\n]+\$|\\[^\W\d_()\[\]]+(?<!\\begin)(?<!\\end)|\\[{}$\\\"'`|&%#_,;:! ])"
+    r"(?P<skip>```.*?```|``[^\n]+?``|`[^`\n]+`|\$\$.*?\$\$|\$[^$\n]+\$|\\(?!(?:begin|end)\{)[^\W\d_]+|\\[{}$\\\"'`|&%#_,;:! ])"
     r"|(?P<env>\\(?:begin|end)\{[\w*]+\})|(?P<math>\\[\[\]()]|\$\$?)|(?P<tag></?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>)|(?P<tick>```+|~~~+|`)|(?P<bracket>[()\[\]{}“”„«»「」『』（）【】])|(?P<quote>\")",
     re.S,
 )
