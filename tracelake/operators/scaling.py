@@ -8,15 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def salted_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str, buckets: int = 256) -> DataFrame:
+def partitions_of(df: DataFrame) -> int:
+    """The shuffle partitions that the session is set to."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def salted_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str, buckets: int | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows before this one within ``keys``.
 
     Rows are ordered by a hash bucket of the ``order`` columns, then by ``order``; with ``value`` = 1 it
-    is a rank from 0. A group is cut into ``buckets`` parts, each summed on its own; the parts' totals,
+    is a rank from 0. A group is cut into ``buckets`` parts (by default at least 256, and four for each shuffle
+    partition that the cluster is set to), each summed on its own; the parts' totals,
     ``buckets`` rows a group, give the offsets. So a group with a third of all rows still runs in many
     tasks. Null keys form a group of their own, null values count as 0; ``order`` must be unique
     within ``keys`` for a repeatable result, rows that tie get distinct positions in any order.
     """
+    buckets = buckets or max(256, 4 * partitions_of(df))
     bucket, val, base = "__bucket", "__value", "__base"
     salted = df.withColumns({bucket: F.pmod(F.xxhash64(*order), F.lit(buckets)), val: F.coalesce(value.cast("long"), F.lit(0).cast("long"))})
     totals = salted.groupBy(*keys, bucket).agg(F.sum(val).alias("__total"))
@@ -29,13 +36,14 @@ def salted_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     return joined.withColumn(out, F.col(out) + F.col(base)).drop(bucket, val, base, "__b", *[f"__k{i}" for i in range(len(keys))])
 
 
-def ordered_prefix(df: DataFrame, order: str, values: Sequence[str], buckets: int = 64) -> DataFrame:
+def ordered_prefix(df: DataFrame, order: str, values: Sequence[str], buckets: int | None = None) -> DataFrame:
     """Adds ``<value>_before`` for each of ``values``: its sum over all rows with a smaller ``order``.
 
     A running sum over a whole table without one task for it: rows fall into at most ``buckets`` ranges of
     ``order`` (numeric, unique, not null) by its quantiles, each summed by itself on top of the ranges before.
     Only the range bounds come to the driver. An empty table gives an empty result.
     """
+    buckets = buckets or max(64, partitions_of(df))
     steps = [(i + 1) / buckets for i in range(buckets - 1)]
     bounds = df.agg(F.percentile_approx(order, steps, 10_000)).first()[0] or []
     bounds = sorted(set(float(b) for b in bounds))
