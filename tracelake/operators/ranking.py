@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.operators.scaling import ordered_prefix
+from tracelake.operators.scaling import ordered_prefix, partitions_of
 from tracelake.session import materialise
 
 
@@ -61,18 +63,39 @@ def tpr_at_fpr(scored: DataFrame, bounds: list[float], score: str = "score", lab
     return best.select(F.inline(F.array(*[F.struct(F.lit(float(b)).alias("bound"), F.round(F.col(f"b{i}"), 6).alias("tpr")) for i, b in enumerate(bounds)])))
 
 
-def bootstrap_auroc(scored: DataFrame, key: str, replicates: int = 200, score: str = "score", label: str = "is_member") -> DataFrame:
-    """One row ``low, high``: 95 % percentile interval over Poisson resamples drawn by hashes of ``key``."""
-    u = F.pmod(F.xxhash64(key, "replicate"), F.lit(1 << 30)) / float(1 << 30)
-    # Poisson(1) by inversion
-    cuts = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
-    times = sum([(u > c).cast("int") for c in cuts[1:]], (u > cuts[0]).cast("int"))
-    drawn = scored.where(F.col(label).isNotNull()).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("times", times).where("times > 0")
-    per = drawn.groupBy("replicate", finite(F.col(score)).alias("s")).agg(F.sum(F.col("times") * F.col(label).cast("int")).alias("pos"), F.sum(F.col("times") * (~F.col(label)).cast("int")).alias("neg"))
-    from pyspark.sql import Window
+def bootstrap_auroc(scored: DataFrame, replicates: int = 200, seed: int = 0, score: str = "score", label: str = "is_member", buckets: int | None = None) -> DataFrame:
+    """One row ``low, high``: 95 % percentile interval over ``replicates`` Poisson resamples.
 
-    w = Window.partitionBy("replicate").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
-    one = per.withColumn("tp0", F.coalesce(F.sum("pos").over(w), F.lit(0))).groupBy("replicate").agg((F.sum(F.col("neg") * (2 * F.col("tp0") + F.col("pos"))) / (2.0 * F.sum("pos") * F.sum("neg"))).alias("a"))
+    A row drawn with replacement comes up a Poisson number of times; so do the members and non-members of a
+    distinct score, together. The draws are made on these counts, range by range of the score; what leaves a
+    range is one row per replicate. Rows with a null label are left out; without both classes the ends are null.
+    """
+    per = scored.where(F.col(label).isNotNull()).groupBy(finite(F.col(score)).alias("score")).agg(
+        F.sum(F.col(label).cast("long")).alias("pos"), F.sum((~F.col(label)).cast("long")).alias("neg")
+    )
+    per = materialise(per)
+    buckets = buckets or max(64, partitions_of(per))
+    bounds = per.agg(F.percentile_approx("score", [(i + 1) / buckets for i in range(buckets - 1)], 10_000)).first()[0] or []
+    ranged = per.withColumn("part", F.size(F.filter(F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]), lambda b: b < F.col("score"))) if bounds else F.lit(0))
+    rows = 4096
+
+    def draw(key, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("score", ascending=False)
+        rng = np.random.default_rng([seed, int(key[0])])
+        wins, above, members, others = np.zeros(replicates), np.zeros(replicates), np.zeros(replicates), np.zeros(replicates)
+        for lo in range(0, len(f), rows):
+            pos = rng.poisson(f["pos"].to_numpy()[lo : lo + rows, None], (min(rows, len(f) - lo), replicates)).astype(float)
+            neg = rng.poisson(f["neg"].to_numpy()[lo : lo + rows, None], (min(rows, len(f) - lo), replicates)).astype(float)
+            before = above + np.cumsum(pos, axis=0) - pos
+            wins += (neg * (before + 0.5 * pos)).sum(0)
+            above = above + pos.sum(0)
+            members, others = above, others + neg.sum(0)
+        return pd.DataFrame({"part": int(key[0]), "replicate": np.arange(replicates), "wins": wins, "pos": members, "neg": others})
+
+    parts = ranged.groupBy("part").applyInPandas(draw, "part int, replicate int, wins double, pos double, neg double")
+    higher = Window.partitionBy("replicate").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    above = parts.withColumn("above", F.coalesce(F.sum("pos").over(higher), F.lit(0.0)))
+    one = above.groupBy("replicate").agg(F.try_divide(F.sum(F.col("wins") + F.col("neg") * F.col("above")), F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("a"))
     return one.agg(F.round(F.percentile("a", 0.025), 6).alias("low"), F.round(F.percentile("a", 0.975), 6).alias("high"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as T
+from tracelake.operators.scaling import join_by_frequency
 from tracelake.session import read
 
 
@@ -49,18 +50,29 @@ lm AS (SELECT tok, ln(sum(n) / (SELECT total FROM total)) AS lp, sum(n) AS cnt F
 scored AS (SELECT b.doc_id, b.source, b.tok, b.n, lm.lp, lm.cnt FROM bag b JOIN lm USING (tok))"""
 
 
+def spoken(spark, d: str) -> DataFrame:
+    """``doc_id, source, tok``: a row per token of every document."""
+    docs = read(spark, d, "documents").where("text is not null")
+    # one word a row before its punctuation goes, so that all of it runs in generated code
+    words = docs.select("doc_id", "source", F.explode(F.split(F.lower("text"), T.SPACE + "+")).alias("w"))
+    return words.select("doc_id", "source", F.btrim("w", F.lit(T.PUNCTUATION)).alias("tok")).where("tok <> ''")
+
+
 def bag(spark, d: str) -> DataFrame:
     """``doc_id, source, tok, n``: the tokens of every document with their counts."""
-    docs = read(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", "source", F.explode(T.tokens(F.col("text"))).alias("tok")).groupBy("doc_id", "source", "tok").agg(F.count("*").alias("n"))
+    return spoken(spark, d).groupBy("doc_id", "source", "tok").agg(F.count("*").alias("n"))
+
+
+def unigrams(spark, d: str) -> DataFrame:
+    """``tok, lp, cnt``: every token of the corpus with its log-probability and count."""
+    per = spoken(spark, d).groupBy("tok").agg(F.count("*").alias("cnt"))
+    total = per.agg(F.sum("cnt").alias("total"))
+    return per.crossJoin(F.broadcast(total)).select("tok", F.log(F.col("cnt") / F.col("total")).alias("lp"), "cnt")
 
 
 def scored_bag(spark, d: str) -> DataFrame:
     """:func:`bag` with the log-probability ``lp`` of each token in the whole corpus."""
-    b = bag(spark, d)
-    per = b.groupBy("tok").agg(F.sum("n").alias("cnt"))
-    lm = per.crossJoin(F.broadcast(per.agg(F.sum("cnt").alias("total")))).select("tok", F.log(F.col("cnt") / F.col("total")).alias("lp"), "cnt")
-    return b.join(lm, "tok")
+    return join_by_frequency(bag(spark, d), unigrams(spark, d), "tok", "cnt")
 
 
 QUALITY = """lab AS (SELECT doc_id, quality = 1 AS is_member FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rated_at DESC NULLS LAST, rater NULLS LAST) AS rn FROM labels WHERE quality IS NOT NULL) WHERE rn = 1)"""
@@ -76,13 +88,20 @@ LOSS = BAG + ", " + QUALITY + """, loss AS (SELECT doc_id, round(-sum(n * lp) /
 sl AS (SELECT doc_id, -score AS score, is_member FROM loss JOIN lab USING (doc_id))"""
 
 
+def _loss(tokens: DataFrame, spark, d: str) -> DataFrame:
+    scored = join_by_frequency(tokens, unigrams(spark, d), "tok", "cnt")
+    return scored.groupBy("doc_id").agg(F.round(-F.sum("lp") / F.count("*"), 6).alias("score"))
+
+
 def doc_loss(spark, d: str) -> DataFrame:
-    return scored_bag(spark, d).groupBy("doc_id").agg(F.round(-F.sum(F.col("n") * F.col("lp")) / F.sum("n"), 6).alias("score"))
+    return _loss(spoken(spark, d).select("doc_id", "tok"), spark, d)
 
 
 def labelled_loss(spark, d: str) -> DataFrame:
-    """``doc_id, score, is_member``: the negated corpus unigram loss of the rated documents."""
-    return doc_loss(spark, d).join(quality(spark, d), "doc_id").select("doc_id", (-F.col("score")).alias("score"), "is_member")
+    """``doc_id, score, is_member``: the negated corpus unigram loss of the rated documents; others aren't scored."""
+    rated = quality(spark, d)
+    tokens = spoken(spark, d).select("doc_id", "tok").join(rated.select("doc_id"), "doc_id", "left_semi")
+    return _loss(tokens, spark, d).join(rated, "doc_id").select("doc_id", (-F.col("score")).alias("score"), "is_member")
 
 
 ROLL = """roll AS (SELECT request_id, batch_data_id AS uid, rollout_offset, lower(trim(data_source)) AS source, max_response_len,

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracelake.operators import advantages as A
+from tracelake.operators.scaling import positions
 from tracelake.plans import base as B
 from tracelake.plans.registry import query
 from tracelake.session import read
@@ -70,8 +71,8 @@ def zero_variance_group_filter(spark, d):
 def group_filter_and_downsample(spark, d):
     """Groups whose mean is within the band first, cut to half their number: the down-sampling operator; one row per item."""
     g = _roll(spark, d).groupBy("uid").agg(F.avg("r").between(0.2, 0.8).alias("passed"))
-    n = g.count()
-    return g.orderBy(F.desc("passed"), "uid").limit(n // 2)
+    ranked = positions(g, [F.desc("passed"), F.asc("uid")], "rank")
+    return ranked.crossJoin(F.broadcast(ranked.agg(F.count("*").alias("n")))).where("rank < n div 2").select("uid", "passed")
 
 
 @query(GRP + ", p AS (SELECT a.uid, CASE WHEN a.r > b.r THEN 1.0 WHEN a.r = b.r THEN 0.5 ELSE 0 END AS win FROM ro a JOIN ro b ON a.uid = b.uid AND a.rollout_offset < b.rollout_offset) SELECT uid, count(*) AS n, round(avg(win), 5) AS acc FROM p GROUP BY uid")
@@ -208,7 +209,11 @@ def kl_cov_tokens(spark, d):
     t = B.token_rows(spark, d).where("mask = 1")
     e = t.agg(F.avg("adv").alias("ma"), F.avg("lp").alias("ml"), F.count("*").alias("n")).first()
     c = t.select("seq", "pos", F.round((F.col("adv") - F.lit(e["ma"] or 0.0)) * (F.col("lp") - F.lit(e["ml"] or 0.0)), 9).alias("cov"))
-    return c.orderBy(F.desc("cov"), "seq", "pos").limit(max(1, int(e["n"] * 0.002)))
+    n = max(1, int(e["n"] * 0.002))
+    # what lies clearly below the n-th goes before anything is put in order
+    floor = c.agg(F.percentile_approx("cov", 1 - min(1.0, 2 * n / max(e["n"], 1)), 10_000)).first()[0]
+    top = c.where(F.col("cov") >= F.lit(floor)) if floor is not None else c
+    return positions(top, [F.desc("cov"), F.asc("seq"), F.asc("pos")], "rank").where(F.col("rank") < n).select("seq", "pos", "cov")
 
 
 @query("SELECT item_id, round(extra_info.mia_weight, 6) AS linear, round(pow(extra_info.mia_weight, 2), 6) AS quadratic, round(exp(extra_info.mia_weight - 1), 6) AS exponential, round(1 - extra_info.mia_weight, 6) AS inverted, round(coalesce(extra_info.mia_weight, avg(extra_info.mia_weight) OVER ()), 5) AS filled FROM heldout")
@@ -234,9 +239,9 @@ def padded_sequences(spark, d):
     return p.select("seq", F.aggregate(pad, F.lit(0.0), lambda s, v: s + v).alias("total"), F.least(F.size("x"), F.lit(5)).alias("n_real"))
 
 
-@query(TK + ", s AS (SELECT uid, seq, sum((lp - ref_lp) * mask) AS a, sum(rew * mask) AS r FROM tk GROUP BY uid, seq), p AS (SELECT uid, arg_max(a, [r, -seq]) AS c, arg_min(a, [r, seq]) AS j, count(*) AS n FROM s GROUP BY uid) SELECT uid, round(ln(1 + exp(-0.1 * (c - j))), 6) AS dpo, round(pow(c - j - 5.0, 2), 4) AS ipo FROM p WHERE n > 1")
+@query(TK + ", s AS (SELECT uid, seq, round(sum((lp - ref_lp) * mask), 6) AS a, round(sum(rew * mask), 6) AS r FROM tk GROUP BY uid, seq), p AS (SELECT uid, arg_max(a, [r, -seq]) AS c, arg_min(a, [r, seq]) AS j, count(*) AS n FROM s GROUP BY uid) SELECT uid, round(ln(1 + exp(-0.1 * (c - j))), 6) AS dpo, round(pow(c - j - 5.0, 2), 4) AS ipo FROM p WHERE n > 1")
 def preference_losses(spark, d):
-    s = B.token_rows(spark, d).groupBy("uid", "seq").agg(F.sum((F.col("lp") - F.col("ref_lp")) * F.col("mask")).alias("a"), F.sum(F.col("rew") * F.col("mask")).alias("r"))
+    s = B.token_rows(spark, d).groupBy("uid", "seq").agg(F.round(F.sum((F.col("lp") - F.col("ref_lp")) * F.col("mask")), 6).alias("a"), F.round(F.sum(F.col("rew") * F.col("mask")), 6).alias("r"))
     p = s.groupBy("uid").agg(F.max_by("a", F.struct("r", -F.col("seq"))).alias("c"), F.min_by("a", F.struct("r", "seq")).alias("j"), F.count("*").alias("n")).where("n > 1")
     x = F.col("c") - F.col("j")
     return p.select("uid", F.round(F.log1p(F.exp(-0.1 * x)), 6).alias("dpo"), F.round(F.pow(x - 5.0, F.lit(2)), 4).alias("ipo"))

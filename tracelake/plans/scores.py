@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.kernels import zlib_size
 from tracelake.operators import ranking as R
+from tracelake.operators.scaling import ordered_prefix
 from tracelake.plans import base as B
 from tracelake.plans.registry import query
-from tracelake.session import read
+from tracelake.session import materialise, read
 
 BOUNDS = [0.01, 0.05, 0.1, 0.2]
 
@@ -40,7 +41,7 @@ PP = """, mo AS (SELECT sum(exp(lp) * lp) AS mu, sqrt(sum(exp(lp) * lp * lp) - p
 @query(f"WITH {B.BAG} {PP}, z AS (SELECT doc_id, tok, n, (lp - mu) / (sd + 1e-12) AS lp FROM scored, mo) {LOWEST.replace('FROM scored)', 'FROM z)')}")
 def doc_min_k_plus(spark, d):
     s = B.scored_bag(spark, d)
-    lm = s.select("tok", "lp").distinct()
+    lm = B.unigrams(spark, d)
     mu = F.sum(F.exp("lp") * F.col("lp"))
     mo = lm.agg(mu.alias("mu"), F.sqrt(F.sum(F.exp("lp") * F.col("lp") * F.col("lp")) - F.pow(mu, F.lit(2))).alias("sd"))
     z = s.crossJoin(F.broadcast(mo)).select("doc_id", "tok", "n", ((F.col("lp") - F.col("mu")) / (F.col("sd") + 1e-12)).alias("lp"))
@@ -95,14 +96,13 @@ def tpr_at_fpr(spark, d):
 
 @query()
 def bootstrap_auroc(spark, d):
-    return R.bootstrap_auroc(B.labelled_loss(spark, d), "doc_id")
+    return R.bootstrap_auroc(B.labelled_loss(spark, d))
 
 
 @query(f"WITH {B.LOSS} SELECT is_member, row_number() OVER (PARTITION BY is_member ORDER BY doc_id) - 1 AS idx, doc_id AS id, score FROM sl")
 def score_rows_dense_idx(spark, d):
-    s = B.labelled_loss(spark, d)
-    w = Window.partitionBy("is_member").orderBy("doc_id")
-    return s.select("is_member", (F.row_number().over(w) - 1).cast("long").alias("idx"), F.col("doc_id").alias("id"), "score")
+    s = materialise(B.labelled_loss(spark, d).withColumn("one", F.lit(1)))
+    return ordered_prefix(s, "doc_id", ["one"], keys=["is_member"]).select("is_member", F.col("one_before").cast("long").alias("idx"), F.col("doc_id").alias("id"), "score")
 
 
 @query(f"""WITH {B.LOSS}, m AS (SELECT d.doc_id, l.score AS loss, d.n_chars::DOUBLE AS n_chars FROM documents d JOIN loss l USING (doc_id) WHERE n_chars IS NOT NULL),
@@ -126,8 +126,7 @@ a AS (SELECT x.source, sum(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y
 def _auc_by_source(spark, d):
     s = B.labelled_loss(spark, d).join(read(spark, d, "documents").where("source is not null").select("doc_id", "source"), "doc_id")
     per = s.groupBy("source", "score").agg(F.sum(F.col("is_member").cast("long")).alias("pos"), F.sum((~F.col("is_member")).cast("long")).alias("neg"))
-    w = Window.partitionBy("source").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    c = per.withColumn("tp0", F.coalesce(F.sum("pos").over(w), F.lit(0)))
+    c = ordered_prefix(materialise(per.withColumn("down", -F.col("score"))), "down", ["pos"], keys=["source"]).withColumnRenamed("pos_before", "tp0")
     return c.groupBy("source").agg(F.try_divide(F.sum(F.col("neg") * (2 * F.col("tp0") + F.col("pos"))).cast("double"), F.nullif(2.0 * F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc")).where("auc is not null")
 
 
