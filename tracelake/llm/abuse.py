@@ -46,12 +46,12 @@ _MASKS = "*%#•_"
 _CHUNK = re.compile(r"[\w$@!€+*%#•|][\w$@!€+*%#•|'’-]*")
 _SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ ._\-*·/~]){2,}[^\W\d_](?![^\W_])")
 _HAN_GAP = re.compile(r"(?<=[㐀-鿿])[\s\-_.*·~​]+(?=[㐀-鿿])")
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+|(?<=[。！？])|\n+")
+_SENTENCE = re.compile(r"[.!?…][\"'”’»)]*\s+|[。！？]|\n+")
 _ADDRESS = re.compile(next(p for k, w, p in PHRASES if k == "aim" and w == 1.0))
 _LATIN, _CYRILLIC = re.compile(r"[a-z]"), re.compile(r"[а-яё]")
 _COMPILED = [(kind, weight, re.compile(p)) for kind, weight, p in PHRASES]
 _COPULA = re.compile(r"\b(?:are|is|were|sind|ist|gehört|son|es|sont|sono|são|é|è|а)\b|[—是]")
-_QUOTATION = re.compile(r"“[^“”]+”|„[^“”„]+[“”]|«[^«»]+»|「[^「」]+」|(?<![\w\"])\"[^\"\n]+\"(?!\w)|(?<![\w'])'[^'\n]{3,}?'(?!\w)")
+_QUOTATION = re.compile(r"“[^“”]+”|„[^“”„]+[“”]|«[^«»]+»|「[^「」]+」|\"(?<![\w\"].)[^\"\n]+\"(?!\w)|'(?<![\w'].)[^'\n]{3,}?'(?!\w)")
 _REPORTED = re.compile(REPORTED)
 _CLAIMS = re.compile(CLAIMS)
 _REPEATS = re.compile(r"(.)\1{2,}")
@@ -233,11 +233,11 @@ class Scorer:
         longer, shorter = (word, term) if len(word) > len(term) else (term, word)
         return any(longer[i] == longer[i - 1] and longer[:i] + longer[i + 1 :] == shorter for i in range(1, len(longer))) or len(word) < len(term) and len(word) >= 6
 
-    def sentence(self, text: str, aimed: float = 0.0, spans: tuple[tuple[int, int], ...] = (), framed: bool = False) -> tuple[float, set[str], float]:
-        """Score and classes of one sentence of restored text, and how clearly it addresses someone.
+    def sentence(self, text: str, before: str = "", spans: tuple[tuple[int, int], ...] = (), framed: bool = False) -> tuple[float, set[str]]:
+        """Score and classes of one sentence of restored text.
 
-        ``aimed`` is the weight of the addressee in the sentence before, ``spans`` the parts of this one that
-        stand in quotation marks, ``framed`` whether a sentence beside it says that something is quoted.
+        ``before`` is the sentence before, ``spans`` the parts of this one that stand in quotation marks,
+        ``framed`` whether a sentence beside it says that something is quoted.
         """
         restored, kinds, outside = text, [], False
         for m in _CHUNK.finditer(text):
@@ -247,15 +247,14 @@ class Scorer:
                 outside |= not any(a <= m.start() < b for a, b in spans)
                 restored = restored.replace(m[0], word, 1)
         if not kinds and next(self.triggers.iter(text), None) is None:
-            return 0.0, set(), 1.0 if _ADDRESS.search(text) else 0.0
+            return 0.0, set()
         bare = "".join(" " if any(a <= i < b for a, b in spans) else c for i, c in enumerate(text)) if spans else text
         hits = [(k, w) for k, w, p in _COMPILED if p.search(restored)]
-        here = max([w for k, w in hits if k == "aim"], default=0.0)
         if not kinds and not any(k in ("threat", "wish", "call", "act", "noun", "dehum") for k, _ in hits):
-            return 0.0, set(), here
+            return 0.0, set()
         # a slip could be a name or a word of another language: it needs a sure word or a person spoken to beside it
         if all(SLIP in found for found in kinds) and not any(k in ("adj", "wish", "threat", "call", "act") or k == "aim" and w >= 1.0 or k == "group" and any("dehum" in found for found in kinds) for k, w in hits):
-            return 0.0, set(), here
+            return 0.0, set()
         total = {k: 0.0 for k in ("noun", "adj", "dehum", "sex")}
         for found in kinds:
             for k in found - {SLIP}:
@@ -266,8 +265,8 @@ class Scorer:
         noun = total["noun"] + by.get("noun", 0.0)
         adj = total["adj"] + by.get("adj", 0.0)
         dehum = total["dehum"] + by.get("dehum", 0.0)
-        if len(restored.split()) <= CALLED_OUT:
-            by["aim"] = max(by.get("aim", 0.0), ADDRESSED_BEFORE * aimed)
+        if len(restored.split()) <= CALLED_OUT and _ADDRESS.search(before):
+            by["aim"] = max(by.get("aim", 0.0), ADDRESSED_BEFORE)
         aim, wish, threat = by.get("aim", 0.0), by.get("wish", 0.0), by.get("threat", 0.0)
         scores = {
             "insult": (noun + min(adj, 1.2) + aim if noun else 0.0) + (wish if noun or wish >= 1.5 else 0.0),
@@ -284,7 +283,7 @@ class Scorer:
         spoken_of = by.get("mention", 0.0) >= 1.0 or bool(_CLAIMS.search(restored)) and (aim < 1.0 or only_quoted)
         quoted = only_quoted and (framed or bool(_REPORTED.search(bare))) or threat == 0 and bool(_QUOTED_WORD.search(text))
         out = {k: v * (MENTIONED if spoken_of or quoted else 1.0) for k, v in scores.items()}
-        return max(out.values()), {k for k, v in out.items() if v >= ABUSIVE}, here
+        return max(out.values()), {k for k, v in out.items() if v >= ABUSIVE}
 
     def document(self, text: str | None) -> tuple[float, list[str]]:
         """The highest score of a sentence within its window, and the classes that reach the threshold."""
@@ -294,11 +293,11 @@ class Scorer:
         t = _SPELLED.sub(lambda m: re.sub(r"[ ._\-*·/~]", "", m[0]), t)
         places, pos = [], 0
         for m in _SENTENCE.finditer(t):
-            places.append((pos, m.start()))
+            places.append((pos, m.start() + (m[0][0] != "\n")))
             pos = m.end()
         places = [(a, b) for a, b in [*places, (pos, len(t))] if t[a:b].strip()]
         quotations = [m.span() for m in _QUOTATION.finditer(t)]
-        best, classes, aimed, first = 0.0, set(), 0.0, 0
+        best, classes, first = 0.0, set(), 0
         for k, (a, b) in enumerate(places):
             while first < len(quotations) and quotations[first][1] <= a:
                 first += 1
@@ -308,7 +307,7 @@ class Scorer:
                     break
                 spans.append((max(0, quotations[q][0] - a), min(b, quotations[q][1]) - a))
             framed = bool(spans) and any(_REPORTED.search(_QUOTATION.sub(" ", t[c:d])) for c, d in (*places[max(0, k - 1) : k], *places[k + 1 : k + 2]))
-            score, kinds, aimed = self.sentence(t[a:b], aimed, tuple(spans), framed)
+            score, kinds = self.sentence(t[a:b], t[slice(*places[k - 1])] if k else "", tuple(spans), framed)
             best = max(best, score)
             classes |= kinds
         return round(best, 4), sorted(classes)
