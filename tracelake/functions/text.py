@@ -80,12 +80,21 @@ def without_image_links(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r" {2,}", " "))
 
 
+# What a paper's text is cut by.
+INTRODUCTION = r"(?im)^#{1,6}\s*(?:\d+(?:\.\d+)?|[ivxlcdm]+)\s*\.?\s*introduction\b"
+REFERENCES = r"(?im)^#{1,6}\s*(?:references|bibliography|reference)\b"
+MACRO = r"(?im)^\s*\\(?:newcommand|renewcommand|def|DeclareMathOperator|newtheorem)\b.*$"
+
+
 def clean_paper(text: Column) -> Column:
-    """Unix line ends, no HTML or LaTeX comments, no environments; from the introduction to the references."""
+    """A paper from its numbered introduction heading to its references; null without such a heading.
+
+    Line ends become Unix ones; comments of HTML and LaTeX and lines that define macros go.
+    """
     t = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?m)(^|[^\\])%[^\n]*$", "$1"), r"\\(?:cite|ref|label)[a-z]*\{[^}]*\}", "")
-    t = F.regexp_replace(t, r"(?is)^.*?\n(?=[#\\a-z{ ]*introduction)", "")
-    return F.trim(F.regexp_replace(t, r"(?is)\n[#\\a-z*{ ]*references[\s}]*\n.*$", ""))
+    t = F.regexp_replace(F.regexp_replace(t, r"(?m)^\s*%.*$", ""), MACRO, "")
+    t = F.nullif(F.regexp_extract(t, INTRODUCTION + r"[\s\S]*", 0), F.lit(""))
+    return F.nullif(F.btrim(F.regexp_replace(t, REFERENCES + r"[\s\S]*", ""), F.lit(" \t\n\r\f")), F.lit(""))
 
 
 def labelled_output(text: Column, label: str) -> Column:

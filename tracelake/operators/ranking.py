@@ -105,3 +105,10 @@ def minmax(df: DataFrame, columns: list[str], constant: float = 0.0) -> DataFram
     both = df.crossJoin(F.broadcast(ends))
     scale = lambda c: F.when(F.col(f"__hi_{c}") > F.col(f"__lo_{c}"), (F.col(c) - F.col(f"__lo_{c}")) / (F.col(f"__hi_{c}") - F.col(f"__lo_{c}"))).when(F.col(c).isNotNull(), F.lit(constant))
     return both.withColumns({c: scale(c) for c in columns}).drop(*[f"__{e}_{c}" for e in ("lo", "hi") for c in columns])
+
+
+def reweighted(df: DataFrame, weight: str, keys: list[str]) -> DataFrame:
+    """``df`` with ``weighted_<c>``, the product with ``weight``, for every numeric column but keys and weight."""
+    numeric = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    columns = [c for c, kind in df.dtypes if kind in numeric and c not in (*keys, weight) and not c.startswith("weighted_")]
+    return df.withColumns({f"weighted_{c}": F.round(F.col(c) * F.col(weight), 6) for c in columns})

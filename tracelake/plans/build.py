@@ -53,9 +53,21 @@ def text_cleaning(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(T.first_solution(t)).alias("first_solution"), F.md5(T.without_image_links(t)).alias("no_images"))
 
 
-@query()
+def _paper_sql(c):
+    t = f"regexp_replace(regexp_replace({c}, E'\\r\\n?', E'\\n', 'g'), '(?s)<!--.*?-->', '', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '(?m)^\\s*%.*$', '', 'g'), '{T.MACRO}', '', 'g')"
+    t = f"nullif(regexp_extract({t}, '{T.INTRODUCTION}[\\s\\S]*', 0), '')"
+    return f"nullif(trim(regexp_replace({t}, '{T.REFERENCES}[\\s\\S]*', ''), E' \\t\\n\\r\\f'), '')"
+
+
+_FRAME = ("# Title\n% a comment\n\\newcommand{\\x}{y}\n## 1. Introduction\n", "\n<!-- hidden -->\n# References\n[1] Someone.")
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, '{_FRAME[0]}' || text || '{_FRAME[1]}' AS framed FROM documents WHERE text IS NOT NULL) SELECT doc_id, {_paper_sql('text')} AS as_is, md5({_paper_sql('framed')}) AS framed FROM d""")
 def paper_cleaning(spark, d):
-    return _docs(spark, d, "source").where("source = 'arxiv'").select("doc_id", T.clean_paper(F.col("text")).alias("text"))
+    """Papers cut to their body: the texts as they are, of which few have the headings, and with headings around them."""
+    framed = F.concat(F.lit(_FRAME[0]), F.col("text"), F.lit(_FRAME[1]))
+    return _docs(spark, d).select("doc_id", T.clean_paper(F.col("text")).alias("as_is"), F.md5(T.clean_paper(framed)).alias("framed"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN regexp_extract(text, '(?is)solution\s*\.\s*(.*)$', 1) <> '' THEN length(regexp_extract(text, '(?is)solution\s*\.\s*(.*)$', 1)) ELSE length(text) END AS n_out FROM documents WHERE text IS NOT NULL""")

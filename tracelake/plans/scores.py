@@ -123,8 +123,9 @@ SRC_AUC = f"""WITH {B.LOSS}, s AS (SELECT source, score, is_member FROM sl JOIN
 a AS (SELECT x.source, sum(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0 END) / count(*) AS auc FROM s x JOIN s y ON x.source = y.source AND x.is_member AND NOT y.is_member GROUP BY x.source)"""
 
 
-def _auc_by_source(spark, d):
-    s = B.labelled_loss(spark, d).join(read(spark, d, "documents").where("source is not null").select("doc_id", "source"), "doc_id")
+def _auc_by_source(spark, d, s=None):
+    if s is None:
+        s = B.labelled_loss(spark, d).join(read(spark, d, "documents").where("source is not null").select("doc_id", "source"), "doc_id")
     per = s.groupBy("source", "score").agg(F.sum(F.col("is_member").cast("long")).alias("pos"), F.sum((~F.col("is_member")).cast("long")).alias("neg"))
     c = ordered_prefix(materialise(per.withColumn("down", -F.col("score"))), "down", ["pos"], keys=["source"]).withColumnRenamed("pos_before", "tp0")
     return c.groupBy("source").agg(F.try_divide(F.sum(F.col("neg") * (2 * F.col("tp0") + F.col("pos"))).cast("double"), F.nullif(2.0 * F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc")).where("auc is not null")
