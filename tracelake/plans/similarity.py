@@ -7,6 +7,7 @@ from tracelake.functions import reward as W
 from tracelake.functions import similarity as X
 from tracelake.functions import text as T
 from tracelake.functions.kernels import boxed, greedy_coverage, lcs, same_answer, sequence_ratio, shared_ngrams
+from tracelake.operators.retrieval import nearest
 from tracelake.plans import base as B
 from tracelake.plans.registry import query
 from tracelake.session import read
@@ -182,10 +183,8 @@ SELECT q, nb, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim
 def embedding_topk_neighbours(spark, d):
     """The five nearest of all vectors for each query vector: the stated query set, ids divisible by 50, against all rows."""
     e = read(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
-    near = e.join(F.broadcast(q), F.col("q") != F.col("vec_id")).select("q", F.col("vec_id").alias("nb"), F.round(X.cosine(F.col("qe"), F.col("embedding")), 5).alias("sim"))
-    w = Window.partitionBy("q").orderBy(F.desc("sim"), "nb")
-    return near.withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector"))
+    return nearest(e.select(F.col("vec_id").alias("nb"), F.col("embedding").alias("vector")), q, 5)
 
 
 @query("""WITH c AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(v) AS v FROM c GROUP BY ALL), l AS (SELECT label, list(v ORDER BY i) AS cen FROM m GROUP BY label)
