@@ -68,9 +68,7 @@ def filled(text: str, problem: Column, reference: Column, candidate: Column, met
         if piece.startswith("{") and name in values:
             parts.append(F.coalesce(values[name], F.lit("")))
         elif piece.startswith("{") and name in PLACEHOLDERS:
-            x = metrics[PLACEHOLDERS[name]]
-            # only sixteenths lie exactly between two numbers of three decimals; these go to the even one
-            parts.append(F.format_string("%.3f", F.when(x * 16 == F.floor(x * 16), F.bround(x, 3)).otherwise(F.round(x, 3))))
+            parts.append(F.format_string("%.3f", F.round(metrics[PLACEHOLDERS[name]], 3)))
         else:
             parts.append(F.lit(piece))
     return F.concat(*parts)

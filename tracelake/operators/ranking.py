@@ -79,7 +79,7 @@ def bootstrap_auroc(scored: DataFrame, replicates: int = 200, seed: int = 0, sco
     ranged = per.withColumn("part", F.size(F.filter(F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]), lambda b: b < F.col("score"))) if bounds else F.lit(0))
     rows = 4096
 
-    def draw(key, f: pd.DataFrame) -> pd.DataFrame:
+    def draw(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("score", ascending=False)
         rng = np.random.default_rng([seed, int(key[0])])
         wins, above, members, others = np.zeros(replicates), np.zeros(replicates), np.zeros(replicates), np.zeros(replicates)

@@ -9,6 +9,7 @@ from tracelake.functions import text as T
 from tracelake.functions.kernels import greedy_coverage, lcs, shared_ngrams
 from tracelake.operators import attacks as K
 from tracelake.operators import ranking as R
+from tracelake.operators import rewards as RW
 from tracelake.operators.scaling import join_by_frequency
 from tracelake.plans import base as B
 from tracelake.plans.registry import query
@@ -206,7 +207,7 @@ def best_and_worst_of_n(spark, d):
 
 
 @query(f"""WITH {B.TPAIRS}, e AS (SELECT extra_info.id AS ex_id, prompt[1].content AS p FROM ev)
-SELECT ex_id, cand_idx, '0-1' AS scale, 'Reference: ' || trim(ref, ' ') || chr(10) || 'Candidate: ' || trim(cand, ' ') || chr(10) || 'Shared words: ' || printf('%.3f', {_div(INTER, UNION)}) || ', length: ' || printf('%.3f', CASE WHEN len(rt) = 0 THEN CASE WHEN len(ct) > 0 THEN 0.0 ELSE 1.0 END ELSE len(ct)::DOUBLE / len(rt) END) || chr(10) || 'REWARD: <number between 0 and 1>' AS prompt FROM tp JOIN e USING (ex_id)""")
+SELECT ex_id, cand_idx, '0-1' AS scale, 'Reference: ' || trim(ref, ' ') || chr(10) || 'Candidate: ' || trim(cand, ' ') || chr(10) || 'Shared words: ' || printf('%.3f', round({_div(INTER, UNION)}, 3)) || ', length: ' || printf('%.3f', round(CASE WHEN len(rt) = 0 THEN CASE WHEN len(ct) > 0 THEN 0.0 ELSE 1.0 END ELSE len(ct)::DOUBLE / len(rt) END, 3)) || chr(10) || 'REWARD: <number between 0 and 1>' AS prompt FROM tp JOIN e USING (ex_id)""")
 def judge_prompts(spark, d):
     """Prompts for a judge from a named template, with the metrics that the template names."""
     text = Q.template("v3")
@@ -241,3 +242,18 @@ def perturbed_twins(spark, d):
     h = read(spark, d, "heldout").select("item_id", F.col("reward_model.ground_truth").alias("gt"))
     e = B.evaluations(spark, d).select(F.col("extra_info.id").alias("ex_id"), F.col("extra_info.original_idx").alias("item_id"), F.col("reward_model.ground_truth").alias("ref"))
     return e.join(h, "item_id").select("ex_id", "item_id", F.col("ref").eqNullSafe(F.col("gt")).alias("same"))
+
+
+@query(f"""WITH {B.TPAIRS} SELECT ex_id, cand_idx, round({_div(INTER, UNION)}, 6) AS jaccard, round({_div(INTER, 'len(list_distinct(rt))')}, 6) AS token_overlap, round({_div(INTER, UNION)}, 6) AS reward FROM tp""")
+def managed_rewards(spark, d):
+    """Registered rewards applied to every response in one pass: the reward and its extras."""
+    rewards = {n: RW.REWARDS[n] for n in ("jaccard", "token_overlap")}
+    return RW.scored(B.pairs(spark, d), rewards).select(*ID, *[F.round(c, 6).alias(c) for c in (*rewards, "reward")])
+
+
+@query(r"""WITH r AS (SELECT doc_id, 'We think first. Output: ' || left(text, 200) AS t FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '(?i)(output|answer)\s*:'))
+SELECT doc_id, md5(t) AS summary_raw, trim(regexp_extract(t, '(?is)^(.*?)(?:Output|output|answer)\s*:', 1), ' ') AS summary_reasoning FROM r""")
+def enriched_fields(spark, d):
+    """A field with its raw text and the reasoning before it."""
+    r = read(spark, d, "documents").where("text is not null").where(~F.col("text").rlike(r"(?i)(output|answer)\s*:")).select("doc_id", F.concat(F.lit("We think first. Output: "), F.substring("text", 1, 200)).alias("t"))
+    return RW.enriched(r, {"summary": F.col("t")}).select("doc_id", F.md5("summary_raw").alias("summary_raw"), "summary_reasoning")
