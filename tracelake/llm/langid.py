@@ -13,7 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -299,26 +299,34 @@ def turns_of(conversations: DataFrame) -> DataFrame:
     ).where("conversation_hash is not null")
 
 
-def per_conversation(rows: DataFrame, schema: str, analyse) -> DataFrame:
+def turns_in(column: pa.Array) -> list[list[tuple[str | None, str | None]]]:
+    """Per row of an Arrow column of turns its ``(role, content)``; an empty list for null, a null turn has neither."""
+    roles, contents = (x.to_pylist() for x in column.values.flatten())
+    turns = list(zip(roles, contents))
+    offsets = column.offsets.to_pylist()
+    return [turns[a:b] if ok else [] for a, b, ok in zip(offsets, offsets[1:], column.is_valid().to_pylist())]
+
+
+def per_conversation(rows: DataFrame, schema: str, kind: pa.DataType, analyse) -> DataFrame:
     """Runs ``analyse(labels, turns of each row)`` on every batch and keeps one row's list of results per conversation.
 
-    Copies of a conversation: the one with a ``conversation`` and the latest ``loaded_at`` counts. Results,
-    not texts, are shuffled, and combined before the shuffle, so a key with many copies does no harm.
+    ``schema`` and ``kind`` are the fields of a result for Spark and Arrow. Copies of a conversation: the one with a
+    ``conversation`` and the latest ``loaded_at`` counts. Results, not texts, are shuffled, and combined before the
+    shuffle, so a key with many copies does no harm.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = analyse(list(f["language"]), list(f["turns"]))
-            yield pd.DataFrame({"conversation_hash": f["conversation_hash"], "full": f["full"], "at": f["at"], "found": found})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = analyse(b.column("language").to_pylist(), turns_in(b.column("turns")))
+            yield pa.RecordBatch.from_arrays([b.column("conversation_hash"), b.column("full"), b.column("at"), pa.array(found, pa.list_(kind))], names=["conversation_hash", "full", "at", "found"])
 
-    kinds = dict(rows.dtypes)
-    out = spread(rows).mapInPandas(run, f"conversation_hash string, full boolean, at {kinds['at']}, found array<struct<{schema}>>")
-    best = out.groupBy("conversation_hash").agg(F.max_by("found", F.struct("full", F.coalesce(F.col("at").cast("string"), F.lit("")), F.size("found"))).alias("found"))
+    source = spread(rows.withColumn("at", F.coalesce(F.col("at").cast("string"), F.lit(""))))
+    out = source.mapInArrow(run, f"conversation_hash string, full boolean, at string, found array<struct<{schema}>>")
+    best = out.groupBy("conversation_hash").agg(F.max_by("found", F.struct("full", "at", F.size("found"))).alias("found"))
     return best.select("conversation_hash", F.explode("found").alias("f")).select("conversation_hash", "f.*")
 
 
-def texts_of(turns) -> list[str | None]:
-    return [t["content"] if t is not None else None for t in turns] if turns is not None else []
+SEGMENT = pa.struct([("turn_idx", pa.int32()), ("seg_idx", pa.int32()), ("language", pa.string()), ("confidence", pa.float64()), ("n_chars", pa.int32()), ("is_whole", pa.bool_()), ("label", pa.string())])
 
 
 def conversation_languages(conversations: DataFrame, samples: DataFrame) -> DataFrame:
@@ -334,9 +342,9 @@ def conversation_languages(conversations: DataFrame, samples: DataFrame) -> Data
         model, out = shared.value, []
         parts = []
         for turns in all_turns:
-            own = [sentences(t) for t in texts_of(turns)]
+            own = [sentences(t) for _, t in turns]
             # a conversation of nothing but block quotations is judged by them
-            parts.append(own if any(own) else [sentences(t, quotes=True) for t in texts_of(turns)])
+            parts.append(own if any(own) else [sentences(t, quotes=True) for _, t in turns])
         flat = model.score_lists([x for own in parts for x in own])
         at = 0
         for label, own in zip(labels, parts):
@@ -345,7 +353,7 @@ def conversation_languages(conversations: DataFrame, samples: DataFrame) -> Data
             out.append([{"turn_idx": i, "seg_idx": j, "language": language, "confidence": round(sure, 4), "n_chars": n, "is_whole": whole, "label": label} for i, runs in enumerate(segments) for j, (language, sure, n, whole) in enumerate(runs)])
         return out
 
-    return per_conversation(turns_of(conversations), "turn_idx:int,seg_idx:int,language:string,confidence:double,n_chars:int,is_whole:boolean,label:string", analyse)
+    return per_conversation(turns_of(conversations), "turn_idx:int,seg_idx:int,language:string,confidence:double,n_chars:int,is_whole:boolean,label:string", SEGMENT, analyse)
 
 
 def found_languages(segments: DataFrame) -> DataFrame:

@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.langid import turns_of
+from tracelake.llm.langid import turns_in, turns_of
 from tracelake.session import materialise, read, require_columns, spread
 
 #: Least passage in tokens, share of it that tiles must cover, and least weight of what they cover if words are altered.
@@ -315,13 +316,13 @@ def leaks(conversations: DataFrame, items: DataFrame, block_items: int = BLOCK_I
         elsewhere = frozenset(r["word"] for r in neighbours(frequency, words_here).collect()) if blocks > 1 else frozenset()
         shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [(k, *v) for k, v in grouped.items()], df, n, elsewhere))
 
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _index_of(shared)
-            for f in frames:
-                rows = {(i, h) for h, turns in zip(f["conversation_hash"], f["turns"]) if turns is not None for t in turns if t is not None and t["content"] for i in index.leaked(normal_tokens(t["content"]))}
-                yield pd.DataFrame(sorted(rows), columns=["item_id", "conversation_hash"])
+            for b in batches:
+                rows = sorted({(i, h) for h, turns in zip(b.column("conversation_hash").to_pylist(), turns_in(b.column("turns"))) for _, text in turns if text for i in index.leaked(normal_tokens(text))})
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["item_id", "conversation_hash"])
 
-        part = turns.mapInPandas(run, "item_id bigint, conversation_hash string")
+        part = turns.mapInArrow(run, "item_id bigint, conversation_hash string")
         if blocks > 1:
             part = materialise(part.distinct())
             shared.unpersist()

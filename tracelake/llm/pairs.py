@@ -14,11 +14,11 @@ from collections.abc import Iterator
 from itertools import chain, islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.langid import SURE_LEAD, LanguageModel, fitted, is_whole, sentences, turns_of
+from tracelake.llm.langid import SURE_LEAD, LanguageModel, fitted, is_whole, sentences, turns_in, turns_of
 from tracelake.llm.truncation import Judge, decided, stem
 from tracelake.session import materialise, read, spread
 
@@ -227,20 +227,20 @@ def other_languages(model: LanguageModel, pairs: list[tuple[str | None, str]]) -
 
 
 def split_pairs(turns) -> list[tuple[int, str | None, str | None]]:
-    """``(pair_idx, question, answer)`` of every user turn; the answer is all that stands before the next user turn, None if nothing does."""
+    """``(pair_idx, question, answer)`` of every user turn of ``(role, content)``; the answer is all that stands before the next user turn, None if nothing does."""
     out: list[list] = []
-    for t in turns if turns is not None else []:
-        if t is None:
-            continue
-        role = (t["role"] or "").strip().lower()
+    for role, content in turns:
+        role = (role or "").strip().lower()
         if role in ("user", "human", "prompter"):
-            out.append([t["content"], None])
-        elif role in ("assistant", "gpt", "model", "bot", "chatbot") and out:
-            if t["content"] is not None:
-                out[-1][1] = t["content"] if out[-1][1] is None else out[-1][1] + "\n" + t["content"]
+            out.append([content, None])
+        elif role in ("assistant", "gpt", "model", "bot", "chatbot") and out and content is not None:
+            out[-1][1] = content if out[-1][1] is None else out[-1][1] + "\n" + content
     return [(i, q, a) for i, (q, a) in enumerate(out)]
 
 
+PAIR = pa.struct([("pair_idx", pa.int32()), ("defects", pa.list_(pa.string())), ("n_chars", pa.int32()), ("verdict", pa.string()), ("reason", pa.string()), ("keys", pa.list_(pa.string()))])
+
+
 def pair_defects(conversations: DataFrame, samples: DataFrame) -> DataFrame:
     """``conversation_hash, pair_idx, defects, defect``: every pair with its triggered defects in the rules' order, and the first.
 
@@ -252,20 +252,21 @@ def pair_defects(conversations: DataFrame, samples: DataFrame) -> DataFrame:
     """
     rows = turns_of(conversations)
     shared = conversations.sparkSession.sparkContext.broadcast(fitted(samples))
-    columns = ("conversation_hash", "full", "at", "found", "key", "uses", "ends")
+    kinds = (pa.string(), pa.bool_(), pa.string(), pa.list_(PAIR), pa.string(), pa.int64(), pa.int64())
+    names = ["conversation_hash", "full", "at", "found", "key", "uses", "ends"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, judge = shared.value, Judge()
 
-        def table(n: int, **out) -> pd.DataFrame:
-            return pd.DataFrame({c: pd.Series(out.get(c, [None] * n), dtype=object) for c in columns})
+        def table(n: int, **out) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(out[c], k) if isinstance(out.get(c), list) else out.get(c, pa.nulls(n, k)) for c, k in zip(names, kinds)], names=names)
 
-        def totals() -> pd.DataFrame:
+        def totals() -> pa.RecordBatch:
             _, key, uses, ends = judge.handed_on()
             return table(len(key), key=key, uses=uses, ends=ends)
 
-        for f in frames:
-            pairs = [split_pairs(t) for t in f["turns"]]
+        for b in batches:
+            pairs = [split_pairs(t) for t in turns_in(b.column("turns"))]
             answered = [(q, a) for row in pairs for _, q, a in row if not is_empty(a)]
             other = iter(other_languages(model, answered))
             found = []
@@ -280,14 +281,14 @@ def pair_defects(conversations: DataFrame, samples: DataFrame) -> DataFrame:
                     verdict, reason, keys = judge.verdict(answer, None, None)
                     out.append({"pair_idx": i, "defects": [d for d, hit in rules if hit], "n_chars": len(answer), "verdict": verdict, "reason": reason, "keys": keys})
                 found.append(out)
-            yield table(len(f), conversation_hash=list(f["conversation_hash"]), full=list(f["full"]), at=list(f["at"]), found=found)
+            yield table(len(b), conversation_hash=b.column("conversation_hash"), full=b.column("full"), at=b.column("at"), found=found)
             if judge.full():
                 yield totals()
         yield totals()
 
     fields = "pair_idx:int,defects:array<string>,n_chars:int,verdict:string,reason:string,keys:array<string>"
     source = spread(rows.select("conversation_hash", "full", F.coalesce(F.col("at").cast("string"), F.lit("")).alias("at"), "turns"))
-    both = materialise(source.mapInPandas(run, f"conversation_hash string, full boolean, at string, found array<struct<{fields}>>, key string, uses bigint, ends bigint"))
+    both = materialise(source.mapInArrow(run, f"conversation_hash string, full boolean, at string, found array<struct<{fields}>>, key string, uses bigint, ends bigint"))
     best = both.where("key is null").groupBy("conversation_hash").agg(F.max_by("found", F.struct("full", "at", F.size("found"))).alias("found"))
     ruled = materialise(best.select("conversation_hash", F.explode("found").alias("f")).select("conversation_hash", "f.*", F.lit(None).cast("string").alias("source")))
     texts = ruled.where("verdict is not null and verdict != 'blank'").select("conversation_hash", "pair_idx", "source", "n_chars", "verdict", "reason", "keys")

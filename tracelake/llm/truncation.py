@@ -15,7 +15,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -326,30 +326,37 @@ def judged(texts: DataFrame, ids: list[str], order: str | None = None) -> DataFr
     require_columns(texts, *ids, "source", "max_words", "text")
     kinds = dict(texts.dtypes)
     order_col = F.col(order).cast("string") if order else F.lit(None).cast("string")
-    rows = spread(texts.select(*ids, "source", F.col("max_words").cast("int").alias("max_words"), order_col.alias("__order"), "text"))
+    rows = spread(texts.select(*ids, F.col("source").cast("string").alias("source"), F.col("max_words").cast("int").alias("max_words"), order_col.alias("__order"), "text"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [*ids, "source", "__order", "n_chars", "verdict", "reason", "keys", "key", "uses", "ends"]
+    own = ("source", "__order", "n_chars", "verdict", "reason", "keys", "key", "uses", "ends")
+    types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int64(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge()
 
-        def table(n: int, **out) -> pd.DataFrame:
-            return pd.DataFrame({c: pd.Series(out.get(c, [None] * n), dtype=object) for c in columns})
+        def table(n: int, id_columns: list[pa.Array], **out) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*id_columns, *[pa.array(out[c], k) if isinstance(out.get(c), list) else out.get(c, pa.nulls(n, k)) for c, k in zip(own, types)]], names=[*ids, *own])
 
-        def totals() -> pd.DataFrame:
+        def totals(kinds: list[pa.DataType]) -> pa.RecordBatch:
             source, key, uses, ends = judge.handed_on()
-            return table(len(key), source=source, key=key, uses=uses, ends=ends)
+            return table(len(key), [pa.nulls(len(key), k) for k in kinds], source=source, key=key, uses=uses, ends=ends)
 
-        for f in frames:
-            found = [judge.verdict(t, n, s) for t, n, s in zip(f["text"], f["max_words"], f["source"])]
+        kinds = None
+        for b in batches:
+            kinds = [b.schema.field(i).type for i in range(len(ids))]
+            texts = b.column("text").to_pylist()
+            found = [judge.verdict(t, n, s) for t, n, s in zip(texts, b.column("max_words").to_pylist(), b.column("source").to_pylist())]
             keep = [i for i, x in enumerate(found) if x[0] != "blank"]
-            out = {c: [f[c].iat[i] for i in keep] for c in [*ids, "source", "__order"]}
-            yield table(len(keep), **out, n_chars=[len(f["text"].iat[i]) for i in keep], **{c: [found[i][k] for i in keep] for k, c in enumerate(("verdict", "reason", "keys"))})
+            kept = b.take(pa.array(keep, pa.int32()))
+            verdicts = {c: [found[i][k] for i in keep] for k, c in enumerate(("verdict", "reason", "keys"))}
+            yield table(len(keep), [kept.column(i) for i in range(len(ids))], source=kept.column("source"), __order=kept.column("__order"), n_chars=[len(texts[i]) for i in keep], **verdicts)
             if judge.full():
-                yield totals()
-        yield totals()
+                yield totals(kinds)
+        if kinds is not None:
+            yield totals(kinds)
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ids) + ", source string, __order string, n_chars int, verdict string, reason string, keys array<string>, key string, uses bigint, ends bigint"
-    both = materialise(rows.mapInPandas(run, schema))
+    both = materialise(rows.mapInArrow(run, schema))
     last = F.max_by(F.struct("source", "n_chars", "verdict", "reason", "keys"), F.coalesce("__order", F.lit("")))
     one = both.where("key is null").groupBy(*ids).agg(last.alias("x")).select(*ids, "x.*")
     return decided(materialise(one), both.where("key is not null").select("source", "key", "uses", "ends"), ids)
