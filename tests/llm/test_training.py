@@ -424,3 +424,13 @@ def test_packing_capacity_is_checked(spark):
 
     with pytest.raises(ValueError):
         pack(spark.createDataFrame([(1, 5)], "doc_id bigint, n_tokens bigint"), 1 << 21)
+
+
+def test_copies_with_slips_and_wrapped_cuts():
+    from tracelake.llm.pairs import is_copy
+    from tracelake.llm.truncation import stem, structure
+
+    question = "Mein Nachbar meint, Sonnenuhren seien die Mühe nicht wert. Stimmt das, und warum?"
+    assert is_copy(question, question.replace("nicht", "nichht")) and is_copy(question, question.replace("Mühe", "Mhe").replace("wert", "wret"))
+    assert not is_copy("What is the best way to cook rice at home?", "The best way to cook rice at home is in a pot.") and not is_copy(None, "A plain answer of five words.")
+    assert stem('and then Brelsk replace"}') == "and then Brelsk replace" and stem('{"a": "b"}') == '{"a": "b"}' and structure('All is well."}')[0] == "done"

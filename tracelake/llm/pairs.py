@@ -25,6 +25,8 @@ from tracelake.session import materialise, read, spread
 ORDER = ("empty", "copy", "refusal", "other_language", "truncated")
 #: Least share of an answer's word pairs that must come from the question, and least share of its length.
 COPIED, COPIED_OF_QUESTION = 0.85, 0.6
+#: The same share from which slips of a letter are looked for.
+ALIKE = 0.5
 
 # What stands for a missing answer.
 FILLERS = frozenset(
@@ -120,13 +122,16 @@ def is_empty(answer: str | None) -> bool:
 
 
 def is_copy(question: str | None, answer: str) -> bool:
-    """Nothing but the question: its word pairs make up the answer, and the answer a good part of it or one end."""
+    """Nothing but the question, slips of a letter aside: its word pairs make up the answer, and the answer a good part of it or one end."""
     a, q = words(answer), words(question or "")
     if len(a) < 4 or not q:
         return bool(a) and a == q
     have = set(zip(q, q[1:]))
-    pairs = list(zip(a, a[1:]))
-    if sum(p in have for p in pairs) < COPIED * len(pairs):
+    known = sum(p in have for p in zip(a, a[1:]))
+    if ALIKE * (len(a) - 1) <= known < COPIED * (len(a) - 1):
+        a = respelt(a, q)
+        known = sum(p in have for p in zip(a, a[1:]))
+    if known < COPIED * (len(a) - 1):
         return False
     if len(a) >= COPIED_OF_QUESTION * len(q):
         return True
@@ -134,6 +139,20 @@ def is_copy(question: str | None, answer: str) -> bool:
     return len(a) >= 6 and (q[-len(a) :] == a or q[: len(a)] == a)
 
 
+def respelt(words_: list[str], known: list[str]) -> list[str]:
+    """``words_`` with each one that isn't among ``known`` put to one of them that is a letter away, if there is one."""
+    there = set(known)
+    by_shorter = {w[:i] + w[i + 1 :]: w for w in there if len(w) >= 4 for i in range(len(w))}
+
+    def nearest(w: str) -> str:
+        if w in there or len(w) < 3:
+            return w
+        shorter = [w[:i] + w[i + 1 :] for i in range(len(w))]
+        return next((v for v in shorter if v in there), None) or by_shorter.get(w) or next((by_shorter[v] for v in shorter if v in by_shorter), w)
+
+    return [nearest(w) for w in words_]
+
+
 def declines(sentence: str) -> bool:
     """Whether ``sentence`` declines: by a set phrase, or by a person, a denial and a verb of answering together."""
     if not _HINT.search(sentence):

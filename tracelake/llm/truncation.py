@@ -38,6 +38,7 @@ _TERMINATORS = ".!?。！？؟।"
 _CLOSERS = "\"'”’»›)]}」』）】*_~"
 _TAGS = re.compile(r"(?:<\|[\w ]{1,30}\|>|</?[A-Za-z][\w-]{0,15}\s*/?>|\[(?:truncated|\.\.\.|…|cut|continued|more)\]|\((?:truncated|continued|cont\.|\.\.\.|…)\))\s*$", re.I)
 _BLANK = " \t\n\r\f\v\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000\u200b\u200c\u200d\ufeff\u00ad" + "".join(map(chr, [*range(0x00, 0x20), *range(0x2000, 0x200B)]))
+_WRAPPING = re.compile(r"[\"'][\s}\]]*[}\]][,;]?$")
 _ELLIPSIS = re.compile(r"\s*(?:…|\.{3,}|⋯)+$")
 _TOKEN = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+(?:['’][^\W\d_㐀-鿿]+)*|\d+|[^\w\s]")
 _SPAN = re.compile(r"```.*?```|\$\$.*?\$\$|\$[^$\n]*\$|\\\[.*?\\\]|`[^`\n]+`|\\[a-zA-Z]+(?:\{[^{}\n]*\})+|https?://\S+", re.S)
@@ -70,8 +71,11 @@ def stem(text: str) -> str:
     """``text`` without what may trail a cut or an end: blanks, tags, end-of-text marks and ellipses."""
     while True:
         t = text.rstrip(_BLANK)
-        if t and t[-1] in ">])":
+        if t and t[-1] in ">])}":
             t = _TAGS.sub("", t)
+            # the end of a record around the text, which it didn't open
+            if (m := _WRAPPING.search(t)) and any(t.count(b) > t.count(a) for a, b in ("{}", "[]") if b in m[0]):
+                t = t[: m.start()]
         dots = len(t.rstrip("….⋯"))
         if dots < len(t) and not t.endswith("...."):
             kept = t[:dots] + _ELLIPSIS.sub("", t[dots:])
