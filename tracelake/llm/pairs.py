@@ -83,26 +83,26 @@ DECLINING = (
     (r"\b(?:я|мне|меня|мы|мой|моих)\b", r"\b(?:не|нет|нельзя|невозможно|отказ\w*|отклон\w*)\b", r"\b(?:помо[чг]|ответ|отвеч|обсужд|обсуд|говор|писа|напис|предостав|выполн|делит|комментир|рассказ)"),
     (r"我|本人|我们", r"不|无法|没法|拒绝|未能", r"帮|回答|答复|提供|讨论|谈论|写|满足|协助|分享|评论|解答|处理"),
 )
-_DECLINING = [tuple(re.compile(p, re.I) for p in row) for row in DECLINING]
-_REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS), re.I)
+# all of these look at sentences in lower case
+_DECLINING = [tuple(map(re.compile, row)) for row in DECLINING]
+_REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS))
 # Beginnings of words, one of which stands in whatever REFUSALS and DECLINING match.
 _HINT = re.compile(
     r"\b(?:(?:no|not|ne|non|не|нет|nie|off|as an ai)\b|cannot|unable|never|refus|declin|rather|prefer|pass|turn|outside|beyond|falls|against|asked|something|nicht|kein|unmöglich|ablehn|lehn|verweiger|lieber|darf|tampoco|incap|impos|rechaz|neg"
     r"|más|prefier|tengo|debo|dois|dépass|préf|déclin|rifiut|oltre|preferisc|não|além|prefiro|tenho|devo|recus|нельзя|невозм|вынужд|пас\b|выход|предпоч|отказ|отклон)|n't|n'|[不无没拒未超]",
-    re.I,
 )
-_BESIDE = re.compile("|".join(f"(?:{p})" for p in BESIDE), re.I)
+_BESIDE = re.compile("|".join(f"(?:{p})" for p in BESIDE))
 _SPLIT = re.compile(r"[.!?…]\s+|[。！？]|\n+")
 _WORDS = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
 # Words that turn from declining to what is offered instead.
-_TURN = re.compile(r"\b(?:but|however|instead|aber|stattdessen|jedoch|pero|sin embargo|mais|cependant|ma|però|tuttavia|mas|porém|но|однако)\b|但|不过", re.I)
+_TURN = re.compile(r"\b(?:but|however|instead|aber|stattdessen|jedoch|pero|sin embargo|mais|cependant|ma|però|tuttavia|mas|porém|но|однако)\b|但|不过")
 #: Of a refusal's sentences at most one in so many, but one in any case, neither declines nor accompanies.
 OTHER_OF = 6
-#: First sentences of question and answer that settle most pairs.
-HEAD = 2
 #: Words after a turn in a declining sentence, or of a short remark, that still give no content.
 TURN_WORDS, REMARK_WORDS = 14, 14
-_FIRST_PERSON = re.compile(r"\b(?:i|i'm|i'd|me|my|ich|mich|mir|yo|me|je|j'ai|moi|io|mi|eu|я|мне)\b|我", re.I)
+#: Words of the longest sentence that may stand beside a refusal.
+LONGEST_BESIDE = 20
+_FIRST_PERSON = re.compile(r"\b(?:i|i'm|i'd|me|my|ich|mich|mir|yo|me|je|j'ai|moi|io|mi|eu|я|мне)\b|我")
 
 
 def words(text: str) -> list[str]:
@@ -154,7 +154,7 @@ def respelt(words_: list[str], known: list[str]) -> list[str]:
 
 
 def declines(sentence: str) -> bool:
-    """Whether ``sentence`` declines: by a set phrase, or by a person, a denial and a verb of answering together."""
+    """Whether ``sentence``, in lower case, declines: by a set phrase, or by a person, a denial and a verb of answering together."""
     if not _HINT.search(sentence):
         return False
     return bool(_REFUSAL.search(sentence)) or any(n.search(sentence) and p.search(sentence) and v.search(sentence) for p, n, v in _DECLINING)
@@ -175,7 +175,7 @@ def is_refusal(answer: str) -> bool:
     n, other, any_declines, pos = 0, 0, False, 0
     ends = ((m.start(), m.end()) for m in _SPLIT.finditer(answer))
     for end, following in chain(ends, ((len(answer), len(answer)),)):
-        p = unicodedata.normalize("NFKC", answer[pos:end]).replace("’", "'").strip()
+        p = unicodedata.normalize("NFKC", answer[pos:end]).replace("’", "'").strip().lower()
         pos = following
         if not p:
             continue
@@ -187,7 +187,9 @@ def is_refusal(answer: str) -> bool:
             any_declines = True
             continue
         size = size_of(p)
-        if size > 20 or not _BESIDE.search(p):
+        if size > LONGEST_BESIDE:
+            return False
+        if not _BESIDE.search(p):
             # what gives content settles it, so most answers are read no further
             if size > REMARK_WORDS or size > 4 and not _FIRST_PERSON.search(p):
                 return False
@@ -230,15 +232,13 @@ def other_languages(model: LanguageModel, pairs: list[tuple[str | None, str]]) -
         return [False] * len(pairs)
     asked = [sentences(q) or sentences(q, quotes=True) for q, _ in pairs]
     said = [sentences(a) or sentences(a, quotes=True) for _, a in pairs]
-    heads = model.score_lists([x[:HEAD] for x in asked] + [x[:HEAD] for x in said])
-    out, unsettled = [False] * len(pairs), []
-    for i, (q, a) in enumerate(zip(heads[: len(pairs)], heads[len(pairs) :])):
-        first, lead, near = model.named(a)
-        shown = {first[k] for k in np.flatnonzero(near & (lead >= SURE_LEAD)) if is_whole(said[i][k])}
-        first, lead, near = model.named(q)
-        # an answer with a sentence for sure in a language of the question isn't wholly in another
-        if not shown & set(first[near & (lead >= SURE_LEAD)]):
-            unsettled.append(i)
+    # the first sentences of most pairs are in one language for sure: such an answer isn't wholly in another
+    heads = model.scores([x[0] if x else "" for x in (*asked, *said)])
+    first, lead, near = model.named(heads)
+    sure = near & (lead >= SURE_LEAD)
+    n = len(pairs)
+    settled = sure[:n] & sure[n:] & (first[:n] == first[n:]) & np.array([bool(x) and is_whole(x[0]) for x in said], dtype=bool)
+    out, unsettled = [False] * n, np.flatnonzero(~settled).tolist()
     scores = model.score_lists([x for i in unsettled for x in (asked[i], said[i])])
     for k, i in enumerate(unsettled):
         out[i] = is_other_language(model, pairs[i][0], (asked[i], scores[2 * k]), (said[i], scores[2 * k + 1]))
