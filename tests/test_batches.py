@@ -244,3 +244,38 @@ def test_checkpoint_folder_on_a_cluster(spark, monkeypatch):
     fake = type("D", (), {"sparkSession": type("P", (), {"sparkContext": Unset})()})()
     with pytest.raises(ValueError):
         session.materialise(fake)
+
+
+def test_fitted(spark):
+    x = F.array(*[F.lit(i) for i in range(1, 8)])
+    fit = lambda *a, **k: spark.range(1).select(RC.fitted(*a, **k)).first()[0]
+    zero = F.lit(0)
+    assert fit(x, 4, zero, cut="left") == [4, 5, 6, 7] and fit(x, 4, zero, cut="right") == [1, 2, 3, 4] and fit(x, 5, zero, cut="middle") == [1, 2, 5, 6, 7]
+    assert fit(x, 9, zero) == [0, 0, 1, 2, 3, 4, 5, 6, 7] and fit(x, 9, zero, left_pad=False) == [1, 2, 3, 4, 5, 6, 7, 0, 0] and fit(x, 7, zero) == [1, 2, 3, 4, 5, 6, 7]
+    assert fit(F.lit(None).cast("array<int>"), 3, zero) is None and fit(x, 1, zero, cut="middle") == [7]
+    with pytest.raises(Exception):
+        fit(x, 4, zero)
+    with pytest.raises(ValueError):
+        fit(x, 4, zero, cut="what")
+
+
+def test_equal_sized():
+    from tracelake.operators.partitions import equal_sized
+
+    rng = random.Random(4)
+    for _ in range(30):
+        n = [rng.randrange(1, 90) for _ in range(4 * rng.randrange(1, 12))]
+        p = equal_sized(n, 4)
+        sums = [sum(x for x, q in zip(n, p) if q == k) for k in range(4)]
+        assert all(p.count(k) == len(n) // 4 for k in range(4)) and max(sums) - min(sums) <= max(n)
+    assert equal_sized([], 3) == []
+    with pytest.raises(ValueError):
+        equal_sized([1, 2, 3], 2)
+
+
+def test_paired_scores(spark):
+    m = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "score double")
+    n = spark.createDataFrame([(float("inf"),), (2.0,)], "score double")
+    got = sorted((r["is_member"], r["score"]) for r in R.paired_scores(m, n).collect())
+    assert got == [(False, -2.0), (False, 0.0), (True, -1.0), (True, 0.0), (True, 0.0)]
+    assert R.auroc(R.paired_scores(m, n, higher_is_member=True)).first()["auroc"] == pytest.approx(2 / 6)

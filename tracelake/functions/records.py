@@ -88,3 +88,23 @@ def scoring_windows(n: Column, length: int, stride: int | None = None) -> Column
 def setting(settings: Column, path: str, default: str | None = None) -> Column:
     """The value at a dotted ``path`` of a JSON text, else ``default``; also where the text is no JSON."""
     return F.coalesce(F.get_json_object(settings, "$." + path), F.lit(default))
+
+
+def fitted(values: Column, length: int, fill: Column, left_pad: bool = True, cut: str = "error") -> Column:
+    """An array of just ``length`` elements: filled up on one side, or cut on the left, the right or in the middle; ``error`` fails on a longer one."""
+    n = F.size(values)
+    missing = F.array_repeat(fill, F.greatest(F.lit(0), F.lit(length) - n))
+    padded = F.concat(missing, values) if left_pad else F.concat(values, missing)
+    half = length // 2
+    if cut == "left":
+        shorter = F.slice(values, -length, length)
+    elif cut == "right":
+        shorter = F.slice(values, 1, length)
+    elif cut == "middle":
+        shorter = F.concat(F.slice(values, 1, half), F.slice(values, half - length, length - half)) if half else F.slice(values, -length, length)
+    elif cut == "error":
+        shorter = F.transform(values, lambda v: F.when(F.lit(True), F.raise_error(F.lit(f"a sequence is longer than {length}"))).otherwise(v))
+    else:
+        raise ValueError(f"unknown way to cut: {cut}")
+    return F.when(n > length, shorter).otherwise(padded)
+

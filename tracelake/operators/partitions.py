@@ -33,6 +33,31 @@ def largest_differencing(lengths: list[int], k: int) -> list[int]:
     return out
 
 
+def equal_sized(lengths: list[int], k: int) -> list[int]:
+    """Part numbers by largest differencing with as many sequences in every part; ``k`` must divide their number.
+
+    The sequences start as layers of ``k`` neighbours in length, one for each part, so every merge keeps the numbers even.
+    """
+    if len(lengths) % k:
+        raise ValueError(f"{len(lengths)} sequences can't be cut into {k} parts of equal number")
+    order = sorted(range(len(lengths)), key=lambda i: (lengths[i], i))
+    heap = []
+    for at in range(0, len(order), k):
+        layer = [(lengths[i], [i]) for i in order[at : at + k]]
+        heapq.heappush(heap, (-(layer[-1][0] - layer[0][0]), at, layer))
+    count = len(order)
+    while len(heap) > 1:
+        (_, _, a), (_, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+        both = sorted(((x + y, p + q) for (x, p), (y, q) in zip(a, reversed(b))), key=lambda t: t[0])
+        heapq.heappush(heap, (-(both[-1][0] - both[0][0]), count, both))
+        count += 1
+    out = [0] * len(lengths)
+    for part, (_, members) in enumerate(heap[0][2] if heap else []):
+        for i in members:
+            out[i] = part
+    return out
+
+
 def greedy(lengths: list[int], k: int) -> list[int]:
     """Part numbers by putting the longest left into the lightest part."""
     heap, out = [(0, p) for p in range(k)], [0] * len(lengths)

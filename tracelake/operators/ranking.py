@@ -112,3 +112,10 @@ def reweighted(df: DataFrame, weight: str, keys: list[str]) -> DataFrame:
     numeric = ("tinyint", "smallint", "int", "bigint", "float", "double")
     columns = [c for c, kind in df.dtypes if kind in numeric and c not in (*keys, weight) and not c.startswith("weighted_")]
     return df.withColumns({f"weighted_{c}": F.round(F.col(c) * F.col(weight), 6) for c in columns})
+
+
+def paired_scores(members: DataFrame, nonmembers: DataFrame, score: str = "score", higher_is_member: bool = False) -> DataFrame:
+    """``score, is_member``: two tables of scores as one; what isn't finite counts as 0, and the sign is turned unless higher means member."""
+    value = finite(F.col(score)) if higher_is_member else -finite(F.col(score))
+    side = lambda t, m: t.select(value.alias("score"), F.lit(m).alias("is_member"))
+    return side(members, True).unionByName(side(nonmembers, False))

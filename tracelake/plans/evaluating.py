@@ -191,14 +191,14 @@ def embedded_reward(spark, d):
     return j.select(*ID, F.round(X.unit_cosine(F.col("vr"), F.col("vc")), 5).alias("score"))
 
 
-@query(f"""WITH {B.PAIRS}, s AS (SELECT ex_id, len(cand)::DOUBLE AS v FROM pairs), r AS (SELECT *, row_number() OVER (PARTITION BY ex_id ORDER BY v) AS k, count(*) OVER (PARTITION BY ex_id) AS n FROM s), d AS (SELECT r.*, unnest([2, 4, 8]) AS draws FROM r),
+@query(f"""WITH {B.PAIRS}, s AS (SELECT ex_id, len(cand)::DOUBLE AS v FROM pairs), r AS (SELECT *, row_number() OVER (PARTITION BY ex_id ORDER BY v) AS k, count(*) OVER (PARTITION BY ex_id) AS n FROM s), d AS (SELECT r.*, unnest(list_distinct(list_concat(list_filter([2, 4, 8, 16, 32], lambda x: x < n), [n]))) AS draws FROM r WHERE n > 1),
 e AS (SELECT ex_id, draws, n, sum(v * b) AS bm, sum(v * v * b) AS bs, sum(v * w) AS wm, sum(v * v * w) AS ws FROM (SELECT *, pow(k / n::DOUBLE, draws) - pow((k - 1) / n::DOUBLE, draws) AS b, pow((n - k + 1) / n::DOUBLE, draws) - pow((n - k) / n::DOUBLE, draws) AS w FROM d WHERE draws <= n) GROUP BY ex_id, draws, n)
 SELECT ex_id, draws::INT AS draws, round(bm, 4) AS best_mean, round(sqrt(greatest(bs - bm * bm, 0)), 3) AS best_std, round(wm, 4) AS worst_mean, round(sqrt(greatest(ws - wm * wm, 0)), 3) AS worst_std FROM e""")
 def best_and_worst_of_n(spark, d):
-    """Mean and deviation of the best and the worst of 2, 4 and 8 draws with replacement, exactly, without drawing."""
+    """Mean and deviation of the best and the worst of 2, 4, 8, ... and of all n draws with replacement, exactly, without drawing."""
     s = B.pairs(spark, d).select("ex_id", F.length("cand").cast("double").alias("v"))
     r = s.withColumns({"k": F.row_number().over(Window.partitionBy("ex_id").orderBy("v")), "n": F.count("*").over(Window.partitionBy("ex_id")).cast("double")})
-    r = r.withColumn("draws", F.explode(F.array(F.lit(2), F.lit(4), F.lit(8)))).where("draws <= n")
+    r = r.withColumn("draws", F.explode(F.array_union(F.filter(F.array(*[F.lit(2**i) for i in range(1, 11)]), lambda x: x < F.col("n")), F.array(F.col("n").cast("int"))))).where("n > 1")
     share = lambda hi, lo: F.pow(hi / F.col("n"), F.col("draws")) - F.pow(lo / F.col("n"), F.col("draws"))
     b, w = share(F.col("k"), F.col("k") - 1), share(F.col("n") - F.col("k") + 1, F.col("n") - F.col("k"))
     e = r.groupBy("ex_id", "draws").agg(*[F.sum(F.col("v") * x).alias(f"{n}m") for x, n in ((b, "b"), (w, "w"))], *[F.sum(F.col("v") * F.col("v") * x).alias(f"{n}s") for x, n in ((b, "b"), (w, "w"))])
