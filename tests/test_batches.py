@@ -279,3 +279,14 @@ def test_paired_scores(spark):
     got = sorted((r["is_member"], r["score"]) for r in R.paired_scores(m, n).collect())
     assert got == [(False, -2.0), (False, 0.0), (True, -1.0), (True, 0.0), (True, 0.0)]
     assert R.auroc(R.paired_scores(m, n, higher_is_member=True)).first()["auroc"] == pytest.approx(2 / 6)
+
+
+def test_adaptive_coefficients(spark, tmp_path):
+    from tracelake.streaming import scores as S
+
+    schema = "run string, step bigint, kl double, n bigint"
+    for i, rows in enumerate([[("a", 2, 0.0, 10), ("a", 1, 60.0, 10), ("b", 1, None, 10)], [("a", 3, 6.0, 10)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "k" / str(i)))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "k" / "*"))
+    got = {(r["run"], r["step"]): r["value"] for r in S.run_once(S.adaptive_coefficients(stream, 0.1, 6.0, 100), "kl", "append").collect()}
+    assert got[("a", 1)] == pytest.approx(0.102) and got[("a", 2)] == pytest.approx(0.102 * 0.98) and got[("a", 3)] == pytest.approx(got[("a", 2)]) and got[("b", 1)] == 0.1

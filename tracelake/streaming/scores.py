@@ -48,6 +48,27 @@ def filled_batches(groups: DataFrame, size: int) -> DataFrame:
     return groups.groupBy("batch_key").applyInPandasWithState(fill, out, state, "append", "NoTimeout")
 
 
+def adaptive_coefficients(batches: DataFrame, value: float, target: float, horizon: int) -> DataFrame:
+    """``run, step, kl, value``: the penalty coefficient of each run after every batch, moved towards its target.
+
+    Input ``run string, step bigint, kl double, n bigint``, a batch a row; batches that arrive together are taken by
+    step, a null or NaN divergence moves nothing. State per run is one number.
+    """
+    out = T.StructType().add("run", "string").add("step", "long").add("kl", "double").add("value", "double")
+    state = T.StructType().add("value", "double")
+
+    def move(key, frames, st):
+        import pandas as pd
+
+        kl = AdaptiveKL(st.get[0] if st.exists else value, target, horizon)
+        f = pd.concat(list(frames)).sort_values("step")
+        moved = [kl.update(x, int(n)) if x == x and x is not None else kl.value for x, n in zip(f["kl"], f["n"])]
+        st.update((float(kl.value),))
+        yield pd.DataFrame({"run": key[0], "step": f["step"], "kl": f["kl"], "value": moved})
+
+    return batches.groupBy("run").applyInPandasWithState(move, out, state, "append", "NoTimeout")
+
+
 def run_once(df: DataFrame, name: str, mode: str) -> DataFrame:
     """Drives a stream over all data there is into a table in memory: for tests and small results."""
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
