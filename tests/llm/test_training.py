@@ -337,7 +337,7 @@ def test_closed_blocks_are_done(text):
 
 
 def test_end_counts_by_brute_force():
-    from tracelake.llm.truncation import EndCounts, keys_of, line_key, tokens_of
+    from tracelake.llm.truncation import EndCounts, folded, keys_of, line_key, tokens_of
 
     counts = EndCounts()
     texts = ["One two Three. Two three! four\nOne two\nfive 12 Six", "One two Three? And", "x\ny z"]
@@ -350,9 +350,9 @@ def test_end_counts_by_brute_force():
         before = "^"
         toks = tokens_of(piece)
         for t in toks:
-            for k in {f"2 {before} {t.lower()}", f"1 {t.lower()}"} | ({f"N {before}"} if t[0].isupper() else set()):
+            for k in {f"2 {before} {folded(t)}", f"1 {folded(t)}"} | ({f"N {before}"} if t[0].isupper() else set()):
                 uses[k] = uses.get(k, 0) + 1
-            before = t.lower()
+            before = folded(t)
         for k in keys_of(toks) if ended else []:
             ends[k] = ends.get(k, 0) + 1
     assert {k: u for k, (u, _) in got.items() if k[0] != "L"} == uses

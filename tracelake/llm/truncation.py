@@ -180,10 +180,15 @@ def line_key(tokens: list[str]) -> str:
     return "L " + " ".join(tokens).lower()
 
 
+def folded(token: str) -> str:
+    """``token`` in lower case; a single letter keeps its case, an initial being no word."""
+    return token if len(token) == 1 else token.lower()
+
+
 def keys_of(tokens: list[str]) -> list[str]:
     """Keys of a sentence end: word pair, last word, and the word before if the last is capitalised."""
-    last = tokens[-1].lower()
-    before = tokens[-2].lower() if len(tokens) > 1 else "^"
+    last = folded(tokens[-1])
+    before = folded(tokens[-2]) if len(tokens) > 1 else "^"
     return [f"2 {before} {last}", f"1 {last}", f"{'N' if tokens[-1][:1].isupper() else 'n'} {before}"]
 
 
@@ -220,7 +225,7 @@ def structure(text: str | None, max_words: int | None = None) -> tuple[str, str,
         return "done", "closing symbol", []
     if _LABELLED.search(lines):
         return "done", "label", []
-    dangling = re.search(r"[(\[{“«„,:;\-–—/&+=<'\"]$", t)
+    dangling = re.search(r"[(\[{“«„,，、:;\-–—/&+=<'\"]$", t)
     u = re.sub(r"[\s(\[{“«„,;:\"'<]+$", "", t) if dangling else t
     if max_words and len(text.split()) >= max_words:
         return "cut", "word limit", []
@@ -232,7 +237,7 @@ def structure(text: str | None, max_words: int | None = None) -> tuple[str, str,
         return "done", "one letter or number", []
     if not tokens:
         return ("cut", "dangling mark", []) if dangling else ("done", "no words", [])
-    if dangling and dangling[0] in "=+<&/":
+    if dangling and dangling[0] in "=+<&/,，、":
         return "cut", "dangling mark", []
     if opened and opened[-1] in "([{“«（":
         # something that closes sentences is open: only a text that ends there without closing it is left
@@ -260,7 +265,7 @@ class EndCounts:
     def add(self, text: str) -> None:
         body = plain(stem(text))
         toks = ["\n", *_PIECE.findall(_DIGITS.sub("0", _END_MARK.sub("\n", body)))]
-        low = list(map(str.lower, toks))
+        low = [t if len(t) == 1 else t.lower() for t in toks]
         self.pairs.update(zip(low, low[1:]))
         self.capitals.update([b for b, t in zip(low, toks[1:]) if t[0].isupper()])
         self.ends.update([(low[i - 2] if i > 1 else "\n", low[i - 1], toks[i - 1][0].isupper()) for i in range(1, len(toks)) if toks[i] == "\n" and toks[i - 1] != "\n"])
