@@ -434,3 +434,16 @@ def test_copies_with_slips_and_wrapped_cuts():
     assert is_copy(question, question.replace("nicht", "nichht")) and is_copy(question, question.replace("Mühe", "Mhe").replace("wert", "wret"))
     assert not is_copy("What is the best way to cook rice at home?", "The best way to cook rice at home is in a pot.") and not is_copy(None, "A plain answer of five words.")
     assert stem('and then Brelsk replace"}') == "and then Brelsk replace" and stem('{"a": "b"}') == '{"a": "b"}' and structure('All is well."}')[0] == "done"
+
+
+def test_baseline_of_the_form(spark):
+    from tracelake.llm.truncation import judged
+
+    nouns = [f"thing{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    rows = [(f"a{i}", "formal", None, f"The hall holds the {n}. It was opened late.\nThe {n}.") for i, n in enumerate(nouns)]
+    # cut prose: 40 texts that stop within a sentence, one of them after a word that may end one
+    rows += [(f"c{i}", "formal", None, f"The hall holds the {n}. The keeper of the {n[:-2]}") for i, n in enumerate(nouns[:40])] + [("x", "formal", None, f"The hall holds a lamp. It holds the {nouns[0]}")]
+    # another source leaves the mark out everywhere
+    rows += [(f"b{i}", "casual", None, "So " * i + f"the hall holds a lamp. It holds the {n}") for i, n in enumerate(nouns)] + [(f"m{i}", "casual", None, f"the {n}\nand the {n}\nare red.") for i, n in enumerate(nouns)]
+    got = {r["id"]: r["verdict"] for r in judged(spark.createDataFrame(rows, "id string, source string, max_words int, text string"), ["id"]).collect()}
+    assert got["x"] == "cut" and all(got[f"c{i}"] == "cut" for i in range(40)) and sum(got[f"b{i}"] == "done" for i in range(60)) >= 55

@@ -4,7 +4,8 @@ A stack automaton reads the whole text once and keeps what is open: code fences,
 tags, brackets and quotations. What is still open at the end, a broken character or escape, or a text of as
 many words as its limit without an end mark decides at once; so does a proper end. The rest, texts without
 an end mark, are held against the baseline of their source (that of all sources where a source has too few
-uses): how often the words they end on end a sentence or line elsewhere, and whether unended texts of the
+uses): how often the words they end on end a sentence or line elsewhere, whether texts of their form (running
+prose, list, single line, ellipsis) finish without an end mark there at all, and whether unended texts of the
 source pile up at one length, as they do where a field or transfer cuts.
 """
 
@@ -23,6 +24,9 @@ from tracelake.session import materialise, read, require_columns, spread
 
 #: A word pair ends a sentence if it does so in at least this share of its uses elsewhere.
 END_SHARE = 0.12
+#: Share of a form's unended texts that look finished, below which none is taken for finished, and above which
+#: only words that end hardly anything, less than the share beside, make a cut.
+RARELY, MOSTLY, HARDLY = 0.1, 0.9, 0.03
 #: Uses elsewhere from which a pair's own share counts; below, the last word's share does.
 ENOUGH = 3
 #: Uses within the text's own source from which they count in place of those in all sources.
@@ -50,6 +54,8 @@ _LABELLED = re.compile(r"(?:^|\n)\s*(?:[*_]{0,2}[^\W\d_][\w ]{0,20}[*_]{0,2}\s*[
 _BARE = re.compile(r"(?:^|\n)\s*[*_$#]{0,3}[-+]?[\d.,/]+[*_$]{0,3}$")
 _SIGNED = re.compile(r"(?:^|\n)[^\n,.!?]{2,40},\s*\n\s*[^\n.!?,]{1,40}$")
 _BOXED = re.compile(r"\\boxed\{[^{}\n]*\}\$?$")
+_ITEM = re.compile(r"\s*(?:[-*•]|\d+[.)])\s")
+_SENTENCE_BEFORE = re.compile(r"[.!?。！？][" + re.escape(_CLOSERS) + r"]*(?:\s+\S|(?<=[。！？])\S)")
 _RULE = re.compile(r"(?:^|\n)\s*(?:-{3,}|\*{3,}|_{3,}|={3,})$")
 _HALF_ESCAPE = re.compile(r"(?:\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&(?:#x?[0-9a-fA-F]*|am|amp|ap|apo|apos|lt|gt|qu|quo|quot|nb|nbs|nbsp)?|%[0-9A-Fa-f]|%[0-9A-Fa-f]{2}%)$")
 _HALF_CHARACTER = re.compile("(?:[\ufffd\ud800-\udfff]|Ã|â€)$")
@@ -196,13 +202,23 @@ def plain(text: str) -> str:
     return _SPAN.sub(" § ", text)
 
 
+def form_of(text: str, t: str) -> str:
+    """The form of the end of ``text``, of which ``t`` is the stem."""
+    line = t[t.rfind("\n") + 1 :]
+    if _ITEM.match(line):
+        return "list"
+    if text.rstrip(_BLANK).endswith(("…", "...", "⋯")):
+        return "ellipsis"
+    return "prose" if _SENTENCE_BEFORE.search(line) else "line"
+
+
 def structure(text: str | None, max_words: int | None = None) -> tuple[str, str, list[str]]:
     """``(verdict, reason, keys)``: verdict is blank, done, cut or open; an open text comes with its keys."""
     if text is None or not text.strip("\u200b\ufeff \t\r\n\f\v\u00a0\u3000"):
         return "blank", "blank", []
     t = stem(text)
     if not t:
-        return "open", "only an ellipsis", keys_of(["…"])
+        return "open", "no end mark, ellipsis", keys_of(["…"])
     if _HALF_CHARACTER.search(t[-2:]) or _HALF_CHARACTER.search(text.rstrip(_BLANK)[-2:]):
         return "cut", "broken character", []
     opened = open_blocks(t)
@@ -246,7 +262,7 @@ def structure(text: str | None, max_words: int | None = None) -> tuple[str, str,
     line = tokens_of(plain(u).rsplit("\n", 1)[-1])
     if "\n" in u and 0 < len(line) <= SHORT_LINE:
         keys[0] = line_key(line)
-    return "open", "dangling mark" if dangling else "no end mark", keys
+    return "open", f"{'dangling' if dangling else 'no end'} mark, {form_of(text, t)}", keys
 
 
 class EndCounts:
@@ -398,15 +414,20 @@ def decided(one: DataFrame, counted: DataFrame, ids: list[str]) -> DataFrame:
     stats = asked.groupBy(*ids).agg(*[level(k, c).alias(f"{c}{k}") for k in range(3) for c in ("uses", "ends")])
     use = lambda k: F.coalesce(F.col(f"uses{k}") - 1, F.lit(0))
     end = lambda k: F.coalesce(F.col(f"ends{k}"), F.lit(0))
-    finished = (
-        F.when(use(0) >= ENOUGH, end(0) >= END_SHARE * use(0))
-        .when(use(1) >= ENOUGH, end(1) >= END_SHARE * use(1))
-        .otherwise((use(2) >= ENOUGH) & (end(2) >= END_SHARE * use(2)) & F.col("capital"))
-    )
+    share = F.when(use(0) >= ENOUGH, end(0) / use(0)).when(use(1) >= ENOUGH, end(1) / use(1)).when((use(2) >= ENOUGH) & F.element_at("keys", 3).startswith("N"), end(2) / use(2)).otherwise(0.0)
     kept = open_.join(stats, ids, "left").join(spikes, F.col("source").eqNullSafe(F.col("__s")) & (F.col("n_chars") == F.col("__n")), "left")
-    kept = kept.withColumn("capital", F.element_at("keys", 3).startswith("N"))
-    spike = F.coalesce("spike", F.lit(False))
-    ruled = kept.select(*ids, "source", F.when(spike, "cut").when(finished, "done").otherwise("cut").alias("verdict"), F.when(spike, "cut length").otherwise(F.col("reason")).alias("reason"))
+    form = F.regexp_extract("reason", r"(\w+)$", 1)
+    kept = materialise(kept.select(*ids, "source", "reason", form.alias("form"), share.alias("share"), F.coalesce("spike", F.lit(False)).alias("spike")))
+    # how many of a form's unended texts look finished, in the source and in all of them
+    looks = ((F.col("share") >= END_SHARE) & ~F.col("spike")).cast("int")
+    per_form = kept.groupBy(F.col("source").alias("__s"), F.col("form").alias("__f")).agg(F.count("*").alias("n"), F.sum(looks).alias("done"))
+    in_all = per_form.groupBy("__f").agg(F.sum("n").alias("n_all"), F.sum("done").alias("done_all"))
+    rates = per_form.join(in_all, "__f").select("__s", "__f", F.when(F.col("n") >= ENOUGH_OWN, F.col("done") / F.col("n")).when(F.col("n_all") >= ENOUGH_OWN, F.col("done_all") / F.col("n_all")).alias("rate"))
+    judged_ = kept.join(rates, F.col("source").eqNullSafe(F.col("__s")) & (F.col("form") == F.col("__f")))
+    mostly = F.coalesce(F.col("rate") > MOSTLY, F.lit(False))
+    finished = F.when(F.col("rate") < RARELY, F.lit(False)).otherwise(F.col("share") >= F.when(mostly, HARDLY).otherwise(END_SHARE))
+    spike = F.col("spike") & ~mostly
+    ruled = judged_.select(*ids, "source", F.when(spike, "cut").when(finished, "done").otherwise("cut").alias("verdict"), F.when(spike, "cut length").otherwise(F.col("reason")).alias("reason"))
     return one.where("verdict != 'open'").select(*ids, "source", "verdict", "reason").unionByName(ruled)
 
 
