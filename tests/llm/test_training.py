@@ -43,6 +43,11 @@ def test_encoding_equals_library():
         assert own.encode(t) == lib.encode_ordinary(t)
         assert lib.decode(own.encode(t)) == t
     assert own.encode(None) == []
+    for t in ("a" * 30_000, "ab" * 5_000, "=" * 3_001, " " * 999, "aA" * 700, "".join(rng.choice("aeinrst") for _ in range(4_000)), "зима" * 800):
+        assert own.encode(t) == lib.encode_ordinary(t)
+    for _ in range(200):
+        piece = bytes(rng.choice(b"aaabnrs") for _ in range(rng.randrange(2, 90)))
+        assert own.encode_long(piece) == own.encode_fragment(piece)
 
 
 def test_encoding_rows(spark):

@@ -9,6 +9,7 @@ the pre-token as one, and no fragment needs work that grows faster than its own
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,6 +20,10 @@ from tracelake.session import require_columns, spread
 
 #: A vocabulary file above this size is refused, since it is sent to every executor.
 MAX_VOCAB_BYTES = 32 << 20
+#: Bytes above which a fragment's pairs are kept in a heap.
+LONG_FRAGMENT = 100
+#: Above every rank.
+NO_RANK = 1 << 60
 #: Pre-tokens kept with their ids in each worker; the memo starts anew when it is full.
 MEMO_ENTRIES = 200_000
 
@@ -39,21 +44,62 @@ class ForcedBoundaryEncoder(dict):
 
     def __init__(self, content: bytes, pattern: str):
         import regex
-        import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line.strip())}
+        self.ranks = ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line.strip())}
         self.inside = bytearray(1 << 16)
         for token in ranks:
             for a, b in zip(token, token[1:]):
                 self.inside[a << 8 | b] = 1
         self.find = regex.compile(pattern).findall
-        self.encode_fragment = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """``piece`` cut between every two bytes that lie next to each other in no token."""
         cuts = [i for i in range(1, len(piece)) if not self.inside[piece[i - 1] << 8 | piece[i]]]
         return [piece[i:j] for i, j in zip([0, *cuts], [*cuts, len(piece)])]
 
+    def encode_fragment(self, fragment: bytes) -> list[int]:
+        """The ids of a fragment: the neighbours of least rank are merged, the first of equal ones, until none has a rank."""
+        rank = self.ranks.get
+        whole = rank(fragment)
+        if whole is not None:
+            return [whole]
+        if len(fragment) > LONG_FRAGMENT:
+            return self.encode_long(fragment)
+        parts = [fragment[i : i + 1] for i in range(len(fragment))]
+        ranked = [rank(a + b, NO_RANK) for a, b in zip(parts, parts[1:])]
+        while ranked and (least := min(ranked)) != NO_RANK:
+            i = ranked.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranked[i]
+            if i < len(ranked):
+                ranked[i] = rank(parts[i] + parts[i + 1], NO_RANK)
+            if i:
+                ranked[i - 1] = rank(parts[i - 1] + parts[i], NO_RANK)
+        return [self.ranks[p] for p in parts]
+
+    def encode_long(self, fragment: bytes) -> list[int]:
+        """As :meth:`encode_fragment`, with the pairs in a heap: time grows as n log n, for runs such as a letter repeated."""
+        rank, n = self.ranks.get, len(fragment)
+        # a part is its start; its end is the next part's start
+        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(fragment[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        alive = bytearray(b"\x01" * n)
+        while heap:
+            _, i, end = heapq.heappop(heap)
+            j = ends[i]
+            if not alive[i] or j >= n or ends[j] != end:
+                continue  # one of the two has been merged since
+            alive[j] = 0
+            ends[i] = end
+            if end < n:
+                before[end] = i
+                if (r := rank(fragment[i : ends[end]])) is not None:
+                    heapq.heappush(heap, (r, i, ends[end]))
+            if (p := before[i]) >= 0 and (r := rank(fragment[p:end])) is not None:
+                heapq.heappush(heap, (r, p, end))
+        return [self.ranks[fragment[i : ends[i]]] for i in range(n) if alive[i]]
+
     def __missing__(self, piece: str) -> list[int]:
         ids = list(chain.from_iterable(map(self.encode_fragment, self.fragments(piece.encode("utf-8", "replace")))))
         self[piece] = ids
