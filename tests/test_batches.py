@@ -290,3 +290,19 @@ def test_adaptive_coefficients(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "k" / "*"))
     got = {(r["run"], r["step"]): r["value"] for r in S.run_once(S.adaptive_coefficients(stream, 0.1, 6.0, 100), "kl", "append").collect()}
     assert got[("a", 1)] == pytest.approx(0.102) and got[("a", 2)] == pytest.approx(0.102 * 0.98) and got[("a", 3)] == pytest.approx(got[("a", 2)]) and got[("b", 1)] == 0.1
+
+
+def test_profiles(spark):
+    from tracelake.functions.bundle import BUNDLE, lexical_metrics, profiled
+
+    p = spark.createDataFrame([("a b c d", "a b c x", 0.25), ("", "", None)], "ref string, cand string, w double").withColumns({"rt": T.tokens(F.col("ref")), "ct": T.tokens(F.col("cand"))})
+    one = lambda n: [r[0] for r in p.select(profiled(n)).collect()]
+    assert one("lexical_token_overlap_ref") == pytest.approx([0.75, 0.0]) and one("default") == pytest.approx([(0.75 + 0.75 + 1 / 3) / 3, 0.0])
+    weighted = one("unique_ngram_coverage_ref_ratio_1.50_mia_quadratic")
+    assert weighted[0] == pytest.approx(1 / 3 * 0.75**2) and weighted[1] is None
+    for bad in ("what", "trio_v3_unique_ratio_1.50_mia_adaptive_match_linear_distractor_max"):
+        with pytest.raises(ValueError):
+            profiled(bad)
+    assert lexical_metrics(p, ["w"], list(BUNDLE)).count() == 2 and lexical_metrics(p.limit(0), ["w"], list(BUNDLE)).count() == 0
+    with pytest.raises(ValueError):
+        lexical_metrics(p, ["w"], ["what"])

@@ -6,6 +6,7 @@ import difflib
 import re
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -33,9 +34,7 @@ def lcs_length(a: list, b: list) -> int:
 
 def greedy_spans(ref: list, cand: list, low: int = LOW, high: int = HIGH) -> list[tuple[int, int]]:
     """Spans of ``cand`` that stand in ``ref``, longest first at each place, from left to right, of at most ``high`` tokens."""
-    places: dict = defaultdict(list)
-    for i in range(len(ref) - low + 1):
-        places[tuple(ref[i : i + low])].append(i)
+    places = places_of(tuple(ref), low)
     spans, j = [], 0
     while j <= len(cand) - low:
         best = 0
@@ -120,9 +119,25 @@ def suffix_automaton(seq: list) -> tuple[list[dict], list[int], list[int]]:
     return step, link, size
 
 
+@lru_cache(maxsize=2)
+def automaton_of(ref: tuple) -> tuple[list[dict], list[int], list[int], list[int]]:
+    """:func:`suffix_automaton`, and its states from the longest on; the candidates of a reference, which lie side by side, share it."""
+    step, link, size = suffix_automaton(list(ref))
+    return step, link, size, sorted(range(1, len(step)), key=size.__getitem__, reverse=True)
+
+
+@lru_cache(maxsize=2)
+def places_of(ref: tuple, low: int) -> dict[tuple, list[int]]:
+    """Where each run of ``low`` tokens stands in ``ref``; shared by the candidates of a reference."""
+    places: dict = defaultdict(list)
+    for i in range(len(ref) - low + 1):
+        places[ref[i : i + low]].append(i)
+    return dict(places)
+
+
 def ngram_counts(ref: list, cand: list, low: int = LOW, high: int = HIGH) -> tuple[int, int, int]:
     """Distinct n-grams of ``low`` to ``high`` tokens in ``ref``, in ``cand`` and in both, in linear time."""
-    step, link, size = suffix_automaton(ref)
+    step, link, size, order = automaton_of(tuple(ref))
 
     def within(reach: list[int], links: list[int], sizes: list[int]) -> int:
         return sum(max(0, min(high, reach[i]) - max(low, sizes[links[i]] + 1) + 1) for i in range(1, len(links)))
@@ -135,7 +150,7 @@ def ngram_counts(ref: list, cand: list, low: int = LOW, high: int = HIGH) -> tup
         if x in step[state]:
             state, n = step[state][x], n + 1
         reach[state] = max(reach[state], n)
-    for i in sorted(range(1, len(step)), key=size.__getitem__, reverse=True):
+    for i in order:
         if reach[i] and link[i] > 0:
             reach[link[i]] = size[link[i]]
     other = suffix_automaton(cand)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from tracelake.functions import grading as Q
 from tracelake.functions import similarity as X
 from tracelake.functions import text as T
-from tracelake.functions.kernels import greedy_coverage, lcs, shared_ngrams
+from tracelake.functions.bundle import BUNDLE, lexical_metrics, profiled
+from tracelake.functions.kernels import lcs
 from tracelake.operators import attacks as K
 from tracelake.operators import ranking as R
 from tracelake.operators import rewards as RW
@@ -14,7 +15,7 @@ from tracelake.operators.scaling import join_by_frequency
 from tracelake.plans import base as B
 from tracelake.plans.registry import query
 from tracelake.plans.scores import SRC_AUC, _auc_by_source
-from tracelake.plans.similarity import BEST, ID, INTER, UNION, _div, _gram_score
+from tracelake.plans.similarity import BEST, GRAMS, ID, INTER, UNION, _div, _gram_score
 from tracelake.session import read
 
 # Every token of a document with its place and log-probability.
@@ -84,37 +85,15 @@ def reweighted_examples(spark, d):
 
 METRICS = f"""SELECT ex_id, cand_idx, round({_div(INTER, UNION)}, 6) AS lexical_token_overlap, round({_div(INTER, 'len(list_distinct(rt))')}, 6) AS lexical_token_overlap_ref, round(CASE WHEN len(rt) = 0 THEN CASE WHEN len(ct) > 0 THEN 0.0 ELSE 1.0 END ELSE len(ct)::DOUBLE / len(rt) END, 6) AS length_ratio"""
 
-#: The bundle of metrics: name and how to build it from ``rt``, ``ct`` and the kernels' columns.
-BUNDLE = {
-    "lexical_token_overlap": lambda: X.jaccard(F.col("rt"), F.col("ct")),
-    "lexical_token_overlap_ref": lambda: X.overlap_ref_set(F.col("rt"), F.col("ct")),
-    "lexical_lcs_ratio": lambda: X.ratio(lcs("rt", "ct"), F.size("rt")),
-    "lexical_lcs_ratio_cand": lambda: X.ratio(lcs("rt", "ct"), F.size("ct")),
-    "length_ratio": lambda: X.length_ratio(F.col("rt"), F.col("ct")),
-    "lexical_ngram_coverage": lambda: X.ratio(greedy_coverage("rt", "ct")["covered"], F.size("ct")),
-    "lexical_ngram_coverage_ref": lambda: X.ratio(greedy_coverage("ct", "rt")["covered"], F.size("rt")),
-    "lexical_unique_ngram_coverage": lambda: X.ratio(shared_ngrams("rt", "ct")["both"], shared_ngrams("rt", "ct")["cand"]),
-    "lexical_unique_ngram_coverage_ref": lambda: X.ratio(shared_ngrams("rt", "ct")["both"], shared_ngrams("rt", "ct")["ref"]),
-}
-
-
-def lexical_metrics(pairs, names):
-    """``ex_id, cand_idx`` and the metrics of ``names`` over token arrays ``rt`` and ``ct``; what isn't asked for isn't computed."""
-    unknown = [n for n in names if n not in BUNDLE]
-    if unknown:
-        raise ValueError(f"unknown metrics: {', '.join(unknown)}")
-    return pairs.select(*ID, *[F.round(BUNDLE[n](), 6).alias(n) for n in names])
-
-
 @query(f"WITH {B.TPAIRS} {METRICS} FROM tp")
 def selected_metrics(spark, d):
     """Three of the nine metrics."""
-    return lexical_metrics(B.token_pairs(spark, d), ["lexical_token_overlap", "lexical_token_overlap_ref", "length_ratio"])
+    return lexical_metrics(B.token_pairs(spark, d), ID, ["lexical_token_overlap", "lexical_token_overlap_ref", "length_ratio"])
 
 
 @query()
 def nine_metrics(spark, d):
-    return lexical_metrics(B.token_pairs(spark, d), list(BUNDLE))
+    return lexical_metrics(B.token_pairs(spark, d), ID, list(BUNDLE))
 
 
 @query()
@@ -257,3 +236,16 @@ def enriched_fields(spark, d):
     """A field with its raw text and the reasoning before it."""
     r = read(spark, d, "documents").where("text is not null").where(~F.col("text").rlike(r"(?i)(output|answer)\s*:")).select("doc_id", F.concat(F.lit("We think first. Output: "), F.substring("text", 1, 200)).alias("t"))
     return RW.enriched(r, {"summary": F.col("t")}).select("doc_id", F.md5("summary_raw").alias("summary_raw"), "summary_reasoning")
+
+
+_PROFILES = ("lexical_token_overlap_ref", "unique_ngram_coverage_ref_ratio_1.50", "unique_ngram_coverage_ref_ratio_1.50_mia_quadratic")
+_PENALTY = "CASE WHEN a = 0 THEN CASE WHEN b = 0 THEN 1.0 ELSE 0.0 END WHEN s >= 1 / 1.5 AND s <= 1.5 THEN 1.0 ELSE least(1.0, r) END"
+
+
+@query(f"""WITH {B.TPAIRS} {GRAMS}, l AS (SELECT *, len({B.sql_words('ref')}) AS a, len({B.sql_words('cand')}) AS b, {_div(INTER, 'len(list_distinct(rt))')} AS m, {_div('len(list_intersect(rg, cg))', 'len(rg)')} AS u FROM gr), p AS (SELECT *, {_div('b', 'a')} AS s, least({_div('b', 'a')}, {_div('a', 'b')}) AS r FROM l)
+SELECT ex_id, cand_idx, round(m, 6) AS plain, round(u * {_PENALTY}, 6) AS penalised, round(u * {_PENALTY} * pow(1 - w, 2), 6) AS weighted FROM p""")
+def profile_rewards(spark, d):
+    """Rewards by profile name: a metric alone, with a length penalty, and weighted by membership."""
+    p = B.token_pairs(spark, d)
+    names = dict(zip(("plain", "penalised", "weighted"), _PROFILES))
+    return p.select(*ID, *[F.round(profiled(n), 6).alias(c) for c, n in names.items()])
