@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import grading as Q
+from tracelake.functions import reward as W
 from tracelake.functions import similarity as X
 from tracelake.functions import text as T
 from tracelake.functions.bundle import BUNDLE, lexical_metrics, profiled
@@ -249,3 +250,43 @@ def profile_rewards(spark, d):
     p = B.token_pairs(spark, d)
     names = dict(zip(("plain", "penalised", "weighted"), _PROFILES))
     return p.select(*ID, *[F.round(profiled(n), 6).alias(c) for c, n in names.items()])
+
+
+_REFS = "list_filter([reward_model.ground_truth, extra_info.member_ground_truth, extra_info.nonmember_ground_truth], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH {B.EV}, e AS (SELECT extra_info.id AS ex_id, {_REFS} AS refs, responses FROM ev), c AS (SELECT ex_id, refs, unnest(responses) AS cand, unnest(range(len(responses)))::INT AS cand_idx FROM e), x AS (SELECT ex_id, cand_idx, cand, unnest(refs) AS ref, unnest(range(len(refs)))::INT AS ref_idx FROM c WHERE cand IS NOT NULL),
+t AS (SELECT *, {B.sql_tokens('ref')} AS rt, {B.sql_tokens('cand')} AS ct, len({B.sql_words('ref')}) AS a, len({B.sql_words('cand')}) AS b FROM x), s AS (SELECT *, round({_div(INTER, UNION)}, 6) AS sim, {_div('b', 'a')} AS s, least({_div('b', 'a')}, {_div('a', 'b')}) AS r FROM t)
+SELECT ex_id, cand_idx, count(*) AS n_refs, arg_min(ref_idx, [-sim, ref_idx]) AS best_ref, round(arg_min(sim * {_PENALTY}, [-sim, ref_idx]), 6) AS score FROM s GROUP BY ex_id, cand_idx""")
+def best_over_references(spark, d):
+    """Every response against all references of its sample: the most similar one, the first of equals, and the length penalty on that one."""
+    x = "extra_info."
+    refs = F.filter(F.array("reward_model.ground_truth", x + "member_ground_truth", x + "nonmember_ground_truth"), lambda r: r.isNotNull())
+    c = B.evaluations(spark, d).select(F.col(x + "id").alias("ex_id"), refs.alias("refs"), F.posexplode("responses").alias("cand_idx", "cand")).where("cand is not null")
+    t = c.select("ex_id", "cand_idx", "cand", F.posexplode("refs").alias("ref_idx", "ref"))
+    a, b = F.size(T.words(F.col("ref"))), F.size(T.words(F.col("cand")))
+    s = t.select(*ID, "ref_idx", F.round(X.jaccard(T.tokens(F.col("ref")), T.tokens(F.col("cand"))), 6).alias("sim"), W.length_penalty(a, b, "ratio", 1.5).alias("penalty"))
+    first = F.struct(-F.col("sim"), F.col("ref_idx"))
+    return s.groupBy(*ID).agg(F.count("*").alias("n_refs"), F.min_by("ref_idx", first).alias("best_ref"), F.round(F.min_by(F.col("sim") * F.col("penalty"), first), 6).alias("score"))
+
+
+@query(f"WITH {B.TOKENS}, m AS (SELECT uid, 'advantage' AS metric, list(adv) AS v FROM tk GROUP BY uid UNION ALL SELECT uid, 'value', list(val) FROM tk GROUP BY uid) SELECT metric, count(*) AS n_lists, round(avg(list_avg(v)), 5) AS mean_of_means, sum(len(v))::BIGINT AS n_values FROM m GROUP BY metric")
+def metric_list_means(spark, d):
+    """Lists of values per metric reduced to their means."""
+    m = B.token_rows(spark, d).groupBy("uid").agg(F.create_map(F.lit("advantage"), F.collect_list("adv"), F.lit("value"), F.collect_list("val")).alias("m"))
+    v = m.select(F.explode("m").alias("metric", "v"))
+    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")
+    return v.groupBy("metric").agg(F.count("*").alias("n_lists"), F.round(F.avg(mean), 5).alias("mean_of_means"), F.sum(F.size("v")).cast("long").alias("n_values"))
+
+
+@query("""WITH h AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS p, count(*) OVER () AS n FROM heldout), r AS (SELECT item_id, (n - 1 - p) AS p, n FROM h) SELECT item_id, p AS position, p // 60 AS chunk FROM r""")
+def reordered_chunks(spark, d):
+    """Rows in another order, cut into chunks and put together again."""
+    from tracelake.operators.scaling import positions
+
+    h = positions(read(spark, d, "heldout").select("item_id"), [F.desc("item_id")], "position").withColumn("chunk", F.floor(F.col("position") / 60))
+    parts = [h.where(F.col("chunk") == i) for i in range(4)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("item_id", "position", "chunk")
