@@ -188,8 +188,8 @@ def shared_ngrams(ref: pd.Series, cand: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(K.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity; two empty texts are alike."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b)])
+    """Ratcliff-Obershelp similarity without case, very frequent characters of long texts left out of the search; two empty texts are alike."""
+    return pd.Series([difflib.SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b)])
 
 
 @F.pandas_udf(K.IntegerType())

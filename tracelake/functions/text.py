@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,28 +48,31 @@ def math_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({MATH_TOKEN})"), 1)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once, however often it comes up."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def without_prefix(text: Column, ratio: float, empty: str = "") -> Column:
     """``text`` without its first ``int(n * ratio)`` words, joined by blanks; ``empty`` for a text without words."""
-    w = words(text)
-    return F.when(F.size(w) == 0, F.lit(empty)).otherwise(F.array_join(F.slice(w, F.floor(F.size(w) * F.lit(ratio)).cast("int") + 1, F.size(w)), " "))
+    rest = lambda w: F.array_join(F.slice(w, F.floor(F.size(w) * F.lit(ratio)).cast("int") + 1, F.size(w)), " ")
+    return let(words(text), lambda w: F.when(F.size(w) == 0, F.lit(empty)).otherwise(rest(w)))
 
 
 def prefix_of(text: Column, ratio: float) -> Column:
     """The first ``max(1, int(n * ratio))`` words."""
-    w = words(text)
-    return F.array_join(F.slice(w, 1, F.greatest(F.lit(1), F.floor(F.size(w) * F.lit(ratio)).cast("int"))), " ")
+    return let(words(text), lambda w: F.array_join(F.slice(w, F.lit(1), F.greatest(F.lit(1), F.floor(F.size(w) * F.lit(ratio)).cast("int"))), " "))
 
 
 def suffix_of(text: Column, ratio: float) -> Column:
     """What :func:`prefix_of` leaves."""
-    w = words(text)
-    return F.array_join(F.slice(w, F.greatest(F.lit(1), F.floor(F.size(w) * F.lit(ratio)).cast("int")) + 1, F.size(w)), " ")
+    return let(words(text), lambda w: F.array_join(F.slice(w, F.greatest(F.lit(1), F.floor(F.size(w) * F.lit(ratio)).cast("int")) + 1, F.size(w)), " "))
 
 
 def within_budget(candidate: Column, reference: Column) -> Column:
     """``candidate`` cut to the word count of ``reference``; a shorter one is kept as it is."""
-    w, n = words(candidate), F.size(words(reference))
-    return F.when(F.size(w) <= n, candidate).otherwise(F.array_join(F.slice(w, 1, n), " "))
+    cut = lambda w, n: F.when(F.size(w) <= n, candidate).otherwise(F.array_join(F.slice(w, F.lit(1), n), " "))
+    return let(words(candidate), lambda w: let(F.size(words(reference)), lambda n: cut(w, n)))
 
 
 def first_solution(text: Column) -> Column:

@@ -30,12 +30,12 @@ def register(name: str) -> Callable[[Reward], Reward]:
 
 @register("jaccard")
 def jaccard(ref: Column, cand: Column) -> Column:
-    return X.jaccard(T.tokens(ref), T.tokens(cand))
+    return T.let(T.tokens(ref), lambda r: T.let(T.tokens(cand), lambda c: X.jaccard(r, c)))
 
 
 @register("token_overlap")
 def token_overlap(ref: Column, cand: Column) -> Column:
-    return X.overlap_ref_set(T.tokens(ref), T.tokens(cand))
+    return T.let(T.tokens(ref), lambda r: T.let(T.tokens(cand), lambda c: X.overlap_ref_set(r, c)))
 
 
 @register("boxed")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import text as T
 from tracelake.operators.scaling import join_by_frequency
-from tracelake.session import read
+from tracelake.session import materialise, read, spread
 
 
 def sql_words(c: str) -> str:
@@ -52,7 +52,7 @@ scored AS (SELECT b.doc_id, b.source, b.tok, b.n, lm.lp, lm.cnt FROM bag b JOIN
 
 def spoken(spark, d: str) -> DataFrame:
     """``doc_id, source, tok``: a row per token of every document."""
-    docs = read(spark, d, "documents").where("text is not null")
+    docs = spread(read(spark, d, "documents").where("text is not null").select("doc_id", "source", "text"))
     # one word a row before its punctuation goes, so that all of it runs in generated code
     words = docs.select("doc_id", "source", F.explode(F.split(F.lower("text"), T.SPACE + "+")).alias("w"))
     return words.select("doc_id", "source", F.btrim("w", F.lit(T.PUNCTUATION)).alias("tok")).where("tok <> ''")
@@ -64,8 +64,8 @@ def bag(spark, d: str) -> DataFrame:
 
 
 def unigrams(spark, d: str) -> DataFrame:
-    """``tok, lp, cnt``: every token of the corpus with its log-probability and count."""
-    per = spoken(spark, d).groupBy("tok").agg(F.count("*").alias("cnt"))
+    """``tok, lp, cnt``: every token of the corpus with its log-probability and count; written, as it is read several times."""
+    per = materialise(spoken(spark, d).groupBy("tok").agg(F.count("*").alias("cnt")))
     total = per.agg(F.sum("cnt").alias("total"))
     return per.crossJoin(F.broadcast(total)).select("tok", F.log(F.col("cnt") / F.col("total")).alias("lp"), "cnt")
 

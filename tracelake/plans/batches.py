@@ -10,7 +10,7 @@ from tracelake.plans import base as B
 from tracelake.plans.registry import query
 from tracelake.session import materialise, read
 
-INDICES = (0, 5, 17, 99, 150)
+INDICES = (0, 5, 17, 42, 63)
 
 
 @query(f"SELECT index, doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS index FROM documents) WHERE index IN {INDICES}")

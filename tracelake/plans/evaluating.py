@@ -17,14 +17,14 @@ from tracelake.plans import base as B
 from tracelake.plans.registry import query
 from tracelake.plans.scores import SRC_AUC, _auc_by_source
 from tracelake.plans.similarity import BEST, GRAMS, ID, INTER, UNION, _div, _gram_score
-from tracelake.session import read
+from tracelake.session import read, spread
 
 # Every token of a document with its place and log-probability.
 PLACED = f"""{B.BAG}, pl AS (SELECT doc_id, unnest({B.sql_tokens('text')}) AS tok, unnest(range(len({B.sql_tokens('text')}))) AS pos FROM documents WHERE text IS NOT NULL), pt AS (SELECT doc_id, pos, tok, lp FROM pl JOIN lm USING (tok))"""
 
 
 def _placed(spark, d):
-    docs = read(spark, d, "documents").where("text is not null")
+    docs = spread(read(spark, d, "documents").where("text is not null").select("doc_id", "text"))
     t = docs.select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "tok"))
     return join_by_frequency(t, B.unigrams(spark, d), "tok", "cnt").select("doc_id", "pos", "tok", "lp")
 

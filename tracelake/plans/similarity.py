@@ -77,8 +77,9 @@ LEN = f", ln AS (SELECT *, len({B.sql_words('ref')}) AS a, len({B.sql_words('can
 
 @query(f"WITH {B.PAIRS} {LEN} SELECT ex_id, cand_idx, {_PEN_SQL} FROM rs")
 def length_penalty_all(spark, d):
-    a, b = F.size(T.words(F.col("ref"))), F.size(T.words(F.col("cand")))
-    return B.pairs(spark, d).select(*ID, *[F.round(W.length_penalty(a, b, k.replace("_", "-")), 6).alias(k) for k in PEN])
+    p = B.pairs(spark, d).withColumns({"a": F.size(T.words(F.col("ref"))), "b": F.size(T.words(F.col("cand")))})
+    a, b = F.col("a"), F.col("b")
+    return p.select(*ID, *[F.round(W.length_penalty(a, b, k.replace("_", "-")), 6).alias(k) for k in PEN])
 
 
 def _trio(spark, d):
