@@ -5,7 +5,7 @@ tags, brackets and quotations. What is still open at the end, a broken character
 many words as its limit without an end mark decides at once; so does a proper end. The rest, texts without
 an end mark, are held against the baseline of their source (that of all sources where a source has too few
 uses): how often the words they end on end a sentence or line elsewhere, whether texts of their form (running
-prose, list, single line, ellipsis) finish without an end mark there at all, and whether unended texts of the
+prose, list, line, single sentence, ellipsis) finish without an end mark there at all, and whether unended texts of the
 source pile up at one length, as they do where a field or transfer cuts.
 """
 
@@ -25,7 +25,7 @@ from tracelake.session import materialise, read, require_columns, spread
 #: A word pair ends a sentence if it does so in at least this share of its uses elsewhere.
 END_SHARE = 0.12
 #: Share of a form's unended texts that look finished, below which none is taken for finished, and above which
-#: only words that end hardly anything, less than the share beside, make a cut.
+#: only known words that end hardly anything, less than the share beside, make a cut.
 RARELY, MOSTLY, HARDLY = 0.1, 0.9, 0.03
 #: Uses elsewhere from which a pair's own share counts; below, the last word's share does.
 ENOUGH = 3
@@ -209,7 +209,7 @@ def form_of(text: str, t: str) -> str:
         return "list"
     if text.rstrip(_BLANK).endswith(("…", "...", "⋯")):
         return "ellipsis"
-    return "prose" if _SENTENCE_BEFORE.search(line) else "line"
+    return "prose" if _SENTENCE_BEFORE.search(line) else "line" if "\n" in t else "single"
 
 
 def structure(text: str | None, max_words: int | None = None) -> tuple[str, str, list[str]]:
@@ -417,7 +417,7 @@ def decided(one: DataFrame, counted: DataFrame, ids: list[str]) -> DataFrame:
     share = F.when(use(0) >= ENOUGH, end(0) / use(0)).when(use(1) >= ENOUGH, end(1) / use(1)).when((use(2) >= ENOUGH) & F.element_at("keys", 3).startswith("N"), end(2) / use(2)).otherwise(0.0)
     kept = open_.join(stats, ids, "left").join(spikes, F.col("source").eqNullSafe(F.col("__s")) & (F.col("n_chars") == F.col("__n")), "left")
     form = F.regexp_extract("reason", r"(\w+)$", 1)
-    kept = materialise(kept.select(*ids, "source", "reason", form.alias("form"), share.alias("share"), F.coalesce("spike", F.lit(False)).alias("spike")))
+    kept = materialise(kept.select(*ids, "source", "reason", form.alias("form"), share.alias("share"), ((use(0) >= ENOUGH) | (use(1) >= ENOUGH)).alias("known"), F.coalesce("spike", F.lit(False)).alias("spike")))
     # how many of a form's unended texts look finished, in the source and in all of them
     looks = ((F.col("share") >= END_SHARE) & ~F.col("spike")).cast("int")
     per_form = kept.groupBy(F.col("source").alias("__s"), F.col("form").alias("__f")).agg(F.count("*").alias("n"), F.sum(looks).alias("done"))
@@ -425,7 +425,7 @@ def decided(one: DataFrame, counted: DataFrame, ids: list[str]) -> DataFrame:
     rates = per_form.join(in_all, "__f").select("__s", "__f", F.when(F.col("n") >= ENOUGH_OWN, F.col("done") / F.col("n")).when(F.col("n_all") >= ENOUGH_OWN, F.col("done_all") / F.col("n_all")).alias("rate"))
     judged_ = kept.join(rates, F.col("source").eqNullSafe(F.col("__s")) & (F.col("form") == F.col("__f")))
     mostly = F.coalesce(F.col("rate") > MOSTLY, F.lit(False))
-    finished = F.when(F.col("rate") < RARELY, F.lit(False)).otherwise(F.col("share") >= F.when(mostly, HARDLY).otherwise(END_SHARE))
+    finished = F.when(F.col("rate") < RARELY, F.lit(False)).otherwise(F.col("share") >= F.when(mostly & F.col("known"), HARDLY).otherwise(END_SHARE))
     spike = F.col("spike") & ~mostly
     ruled = judged_.select(*ids, "source", F.when(spike, "cut").when(finished, "done").otherwise("cut").alias("verdict"), F.when(spike, "cut length").otherwise(F.col("reason")).alias("reason"))
     return one.where("verdict != 'open'").select(*ids, "source", "verdict", "reason").unionByName(ruled)
